@@ -1,0 +1,4 @@
+"""Every query of the engine's own operators, by name, with the equivalent SQL where there is one."""
+
+QUERIES: dict = {}
+ORACLES: dict = {}
