@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 #: Rows up to which a side of a join of narrow rows (a few dozen bytes) is broadcast; larger ones are shuffled.
 BROADCAST_ROWS = 400_000
 #: The white space of the word rule [^\x20\x09-\x0D]+.
-BLANKS = " \t\n\x0b\x0c\r"
 BLANK_RE = r"[\x20\x09-\x0D]+"
 
 
@@ -51,20 +50,20 @@ def let(value: Column, body) -> Column:
 
 def words(text: Column) -> Column:
     """The words [^\\x20\\x09-\\x0D]+ of a text in order; none for null."""
-    inner = F.btrim(text, F.lit(BLANKS))
-    return F.when(F.length(inner) > 0, F.split(inner, BLANK_RE)).otherwise(F.array().cast("array<string>"))
+    return F.coalesce(F.array_remove(F.split(text, BLANK_RE), ""), F.array().cast("array<string>"))
 
 
 def plain_words(text: Column) -> Column:
-    """The lower-cased runs of letters and digits of a text, so that case and punctuation don't matter."""
-    inner = F.regexp_replace(F.lower(text), r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "")
-    return F.when(F.length(inner) > 0, F.split(inner, r"[^\p{L}\p{N}]+")).otherwise(F.array().cast("array<string>"))
+    """The lower-cased runs of letters and digits of a text, so that case and punctuation don't matter; none for null."""
+    return F.coalesce(F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), ""), F.array().cast("array<string>"))
 
 
 def shingles(tokens: Column, k: int) -> Column:
     """64-bit hashes of the runs of k tokens, in order, repeats included; none if there are fewer than k."""
-    n = F.size(tokens) - k
-    return F.when(
-        n >= 0,
-        F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(0))), lambda i: F.xxhash64(*[F.get(tokens, i + j) for j in range(k)])),
-    ).otherwise(F.array().cast("array<bigint>"))
+
+    def runs(t: Column) -> Column:
+        last = F.size(t) - k
+        hashes = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*[F.get(t, i + j) for j in range(k)]))
+        return F.when(last >= 0, hashes).otherwise(F.array().cast("array<bigint>"))
+
+    return let(tokens, runs)

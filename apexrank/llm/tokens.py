@@ -110,7 +110,7 @@ def scan(matrices: list[dict]) -> list:
     return [("", 0), *out[::-1]]
 
 
-def _choose(key, table: pa.Table) -> pa.Table:
+def _choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """applyInArrow: the transfer matrices of one text to the states at both ends of each chunk."""
     rows = sorted(table.to_pylist(), key=lambda r: r["n"])
     states = scan([{((e["a"], e["x"]), (e["b"], e["y"])): e["w"] for e in r["entries"]} for r in rows])

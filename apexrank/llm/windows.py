@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, plain_words, settle, shingles
+from .common import checked, let, plain_words, settle, shingles
 
 #: Words of a shingle; a reference with fewer words is one shingle of its own length.
 SHINGLE = 5
@@ -31,19 +31,23 @@ def windows(docs: DataFrame, refs: DataFrame, k: int) -> DataFrame:
     own = refs.where(F.col("k") == k)
     marks = settle(own.select("ref_id", "n", F.posexplode("shingles").alias("j", "h")), "marks")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
-    split = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), plain_words(F.col("text")).alias("tokens"))
-    hashed = split.withColumn("h", shingles(F.col("tokens"), k))
-    distinct = marks.select("h").distinct()
-    few = distinct.limit(INLINE + 1).collect()
+    split = texts.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    few = marks.select("h").distinct().limit(INLINE + 1).collect()
     if len(few) <= INLINE:
-        known = ",".join(f"{r.h}L" for r in few) or "NULL"
-        seeded = hashed.withColumn("seeds", F.expr(f"filter(transform(h, (x, i) -> named_struct('h', x, 'i', i)), s -> s.h IN ({known}))")).drop("h")
-        held = settle(seeded.where("size(seeds) > 0").withColumn("key", F.monotonically_increasing_id()), "seeded")
+        known = [r.h for r in few]
+
+        def seeded(t):
+            hits = F.filter(F.transform(shingles(t, k), lambda x, i: F.struct(x.alias("h"), i.alias("i"))), lambda s: s["h"].isin(known))
+            return F.struct(t.alias("tokens"), hits.alias("seeds"))
+
+        # One expression to the end: a filter on its result would be pushed down and evaluate it again.
+        one = F.filter(F.array(let(plain_words(F.col("text")), seeded)), lambda s: F.size(s["seeds"]) > 0)
+        held = split.select("doc_id", "text_hash", F.explode_outer(one).alias("s")).where("s is not null").select("doc_id", "text_hash", "s.*")
+        held = settle(held.withColumn("key", F.monotonically_increasing_id()), "seeded")
         hits = held.select("key", F.size("tokens").alias("words"), F.explode("seeds").alias("s")).select("key", "words", "s.h", "s.i")
     else:
-        numbered = settle(split.withColumn("key", F.monotonically_increasing_id()), "numbered")
-        held = numbered
-        hits = numbered.select("key", F.size("tokens").alias("words"), F.posexplode(shingles(F.col("tokens"), k)).alias("i", "h"))
+        held = settle(split.select("doc_id", "text_hash", plain_words(F.col("text")).alias("tokens"), F.monotonically_increasing_id().alias("key")), "numbered")
+        hits = held.select("key", F.size("tokens").alias("words"), F.posexplode(shingles(F.col("tokens"), k)).alias("i", "h"))
     rows = marks.count()
     start = F.greatest(F.least(F.col("i") - F.col("j"), F.col("words") - F.col("n")), F.lit(0))
     places = hits.join(checked(marks, rows), "h").select("key", F.struct("ref_id", start.alias("start"), "n").alias("at")).distinct()
