@@ -19,8 +19,8 @@ MINUS = float("-inf")
 #: Fixed values of the model format: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
-#: Words and pairs whose segmentation is remembered by a task.
-REMEMBERED = 400_000
+#: Words and pairs of pieces whose segmentation a worker remembers in each of two generations.
+REMEMBERED = 100_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -76,7 +76,8 @@ class Vocabulary:
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
         self.heads = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.pairs: dict[tuple[str, str], bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     @classmethod
     def parse(cls, data: bytes) -> Vocabulary:
@@ -129,7 +130,7 @@ class Vocabulary:
         key = (last, piece)
         fits = self.pairs.get(key)
         if fits is None:
-            if len(self.pairs) >= REMEMBERED:
+            if len(self.pairs) >= 2 * REMEMBERED:
                 self.pairs.clear()
             fits = self.pairs[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
         return 0.0 if fits else MINUS
@@ -237,11 +238,13 @@ class Vocabulary:
         """Little-endian 32-bit ids of a stretch that no piece crosses the ends of."""
         found = self.known.get(word)
         if found is None:
-            pieces = self.only_path(word) if self.model == BPE else self.trace(word, 0, len(word), ("", 0))
-            found = np.array([i for p in pieces for i in self.numbers(p)], "<i4").tobytes()
+            found = self.older.get(word)
+            if found is None:
+                pieces = self.only_path(word) if self.model == BPE else self.trace(word, 0, len(word), ("", 0))
+                found = np.array([i for p in pieces for i in self.numbers(p)], "<i4").tobytes()
             if len(word) <= 40:
                 if len(self.known) >= REMEMBERED:
-                    self.known.clear()
+                    self.older, self.known = self.known, {}
                 self.known[word] = found
         return found
 
@@ -249,11 +252,8 @@ class Vocabulary:
         """Ids of a normalised text, stretch by stretch where pieces can't lie across."""
         if self.word is None:
             return self.word_ids(normal) if normal else b""
-        found = self.word.findall(normal)
-        try:
-            return b"".join(map(self.known.__getitem__, found))
-        except KeyError:
-            return b"".join([self.word_ids(w) for w in found])
+        known = self.known.get
+        return b"".join([known(w) or self.word_ids(w) for w in self.word.findall(normal)])
 
     def resets(self, text: str, begin: int, end: int) -> tuple[int, int] | None:
         """The first and last place in [begin, end] that no piece can lie across."""
