@@ -16,7 +16,8 @@ TRAIN_ROWS = 3000
 #: Buckets for pairs and for triples of bytes.
 PAIRS, TRIPLES = 2048, 4096
 WIDTH = PAIRS + TRIPLES
-SLAB = 1 << 20
+#: Bytes and rows whose counts are held at once.
+SLAB, SLAB_ROWS = 1 << 18, 128
 #: Two best languages whose losses differ by less count as ambiguous.
 GAP = 0.1
 
@@ -64,7 +65,7 @@ def features(column: pa.Array):
     row, n = 0, len(column)
     while row < n:
         stop = max(row + 1, int(np.searchsorted(offsets, offsets[row] + SLAB, "right")) - 1)
-        stop = min(stop, row + 512)
+        stop = min(stop, row + SLAB_ROWS)
         counts = np.zeros((stop - row) * WIDTH, np.int64)
         if stop == row + 1:  # a long text in slabs that share their edges
             part = data[offsets[row] : offsets[stop]]
@@ -152,8 +153,8 @@ def _with_hash(batches):
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, len(x)), pa.array(body, pa.binary()), pa.array(ids[row : row + len(x)])], names=["lang", "body", "h"])
 
 
-def _scored(model: Model | None):
-    """mapInArrow: appends lang_pred, score and ambiguous to batches with text and letters (whether the text has one)."""
+def _scored(model: Model | None, drop: tuple[str, ...]):
+    """mapInArrow: appends lang_pred, score and ambiguous to batches with text and letters (whether the text has one), less `drop`."""
 
     def run(batches):
         for batch in batches:
@@ -169,8 +170,8 @@ def _scored(model: Model | None):
             for i, has in enumerate(batch.column("letters").to_pylist()):
                 if not has:
                     langs[i], scores[i], unsure[i] = "und", 0.0, True
-            arrays = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n != "letters"]
-            names = [n for n in batch.schema.names if n != "letters"]
+            arrays = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in drop]
+            names = [n for n in batch.schema.names if n not in drop]
             out = [*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score", "ambiguous"])
 
@@ -185,20 +186,21 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
+def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
     """docs (with a text column) with lang_pred, score (0 to 1) and ambiguous after them, for each row. A text that is null or has no
-    letter is `und` with score 0, as is every text without a model. Only the text is read."""
+    letter is `und` with score 0, as is every text without a model. Only the text is read; keep_text False leaves it out of the result."""
     clash = [c for c in ("lang_pred", "score", "ambiguous", "letters") if c in docs.columns]
     rows = docs.drop(*clash).withColumn("letters", letters(F.col("text")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "letters")
-    return rows.mapInArrow(_scored(model), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    drop = ("letters",) if keep_text else ("letters", "text")
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in drop)
+    return rows.mapInArrow(_scored(model, drop), f"{schema}, lang_pred string, score double, ambiguous boolean")
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, lang_pred, score, ambiguous for each row of docs (doc_id, text, lang); see identify(). Classifiers learn from the
     rows that are not held out: crc32 of doc_id as text, mod 4, is not 2 (a null doc_id is not held out)."""
     model = train(docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    found = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), model)
+    found = identify(docs.select("doc_id", F.col("text").cast("string").alias("text")), model, keep_text=False)
     return found.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "ambiguous")
 
 
