@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import re
-import sys
-import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,74 +10,59 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
+
 #: Labelled documents that the vectors are fitted on at most (those with the least hash of doc_id).
-TRAIN_ROWS = 4000
+TRAIN_ROWS = 3000
 BUCKETS, WIDTH = 1 << 15, 8
-#: Character n-grams of a word, its ends marked.
-GRAMS = (2, 3, 4)
+#: Bytes of a character n-gram; the white space around words counts as characters.
+GRAMS = (3, 4)
 EPOCHS = 12
-#: Words whose buckets a Python worker remembers.
-REMEMBERED = 300_000
-#: Characters of a text that are split at once.
-SLAB = 1 << 20
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
-def word_buckets(word: str) -> np.ndarray:
-    """Buckets of a word and of its character n-grams; of a long word the n-grams too, all of them."""
-    marked = f"<{word}>".encode()
-    crc = zlib.crc32
-    out = [crc(b"w" + marked)]
-    for n in GRAMS:
-        out += [crc(marked[i : i + n], n) for i in range(len(marked) - n + 1)]
-    return np.array(out, np.uint32) % BUCKETS
-
-
-def _memory() -> dict:
-    return sys.__dict__.setdefault("_apexrank_word_buckets", {})
-
-
-def _slabs(text: str):
-    """Words of a text, by slabs that end at a word's end."""
-    at = 0
-    while at < len(text):
-        end = min(len(text), at + SLAB)
-        while end < len(text) and text[end] not in " \t\n\x0b\x0c\r":
-            end += 1
-        yield WORD.findall(text[at:end])
-        at = end
-
-
-def pair_buckets(codes: np.ndarray) -> np.ndarray:
-    """Buckets of the pairs of neighbouring words."""
-    if len(codes) < 2:
-        return np.zeros(0, np.int64)
-    return ((codes[:-1] * np.uint32(0x9E3779B1) ^ codes[1:]) * np.uint32(0x85EBCA6B) >> np.uint32(17)).astype(np.int64) % BUCKETS
-
-
-def document_buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
-    """(buckets, times) of a whole text: words, their character n-grams and pairs of words."""
-    memory, counts = _memory(), np.zeros(BUCKETS, np.int64)
-    last = None
-    for words in _slabs(text):
-        tally: dict[str, int] = {}
-        for w in words:
-            tally[w] = tally.get(w, 0) + 1
-        for w, n in tally.items():
-            found = memory.get(w)
-            if found is None:
-                found = word_buckets(w)
-                if len(w) <= 40:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[w] = found
-            np.add.at(counts, found, n)
-        codes = np.array([zlib.crc32(w.encode()) for w in words], np.uint32)
-        joined = codes if last is None else np.concatenate((last, codes))
-        np.add.at(counts, pair_buckets(joined), 1)
-        last = codes[-1:] if len(codes) else last
-    hit = np.flatnonzero(counts)
-    return hit, counts[hit]
+
+U = np.uint64
+
+
+def _bucket(codes: np.ndarray, kind: int) -> np.ndarray:
+    return (kernels.mix(codes + U(kind * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) & U(BUCKETS - 1)).astype(np.int64)
+
+
+def _grams(data: np.ndarray, n: int) -> np.ndarray:
+    code = data[: len(data) - n + 1].astype(U)
+    for j in range(1, n):
+        code |= data[j : len(data) - n + 1 + j].astype(U) << U(8 * j)
+    return code
+
+
+def _segments(starts: np.ndarray, drop: int) -> tuple[np.ndarray, np.ndarray]:
+    """For runs of drop+1 items within rows of the given starts: which of all runs lie within a row, and the rows' new starts."""
+    lengths = np.maximum(np.diff(starts) - drop, 0)
+    new = np.concatenate(([0], np.cumsum(lengths)))
+    return np.arange(new[-1]) + np.repeat(starts[:-1] - new[:-1], lengths), new
+
+
+def features(column: pa.Array) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Yields (first row, [(buckets, starts of each row's) ..]) for slabs of whole rows: words, pairs of words, and n-grams. A
+    text longer than a slab comes alone and in several parts, each with its row and one segment."""
+    data, offsets = kernels.buffers(column)
+    for row, hashes, starts in kernels.text_words(column, lower=False):
+        n = len(starts) - 1
+        own = [(_bucket(hashes, 1), starts)]
+        if len(hashes) > 1:
+            at, pairs = _segments(starts, 1)
+            own.append((_bucket(hashes[at] * kernels.BASE + hashes[at + 1], 2), pairs))
+        part, edges = data[offsets[row] : offsets[row + n]], offsets[row : row + n + 1] - offsets[row]
+        if n == 1 and len(part) > kernels.SLAB:
+            yield row, own
+            for g in GRAMS:
+                for low in range(0, len(part) - g + 1, kernels.SLAB):
+                    code = _grams(part[low : low + kernels.SLAB + g - 1], g)
+                    yield row, [(_bucket(code, g), np.array([0, len(code)]))]
+            continue
+        for g in GRAMS:
+            if len(part) >= g:
+                at, runs = _segments(edges, g - 1)
+                own.append((_bucket(_grams(part, g)[at], g), runs))
+        yield row, own
 
 
 @dataclass
@@ -123,12 +106,22 @@ def fit(docs: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = EPOCHS, ra
 def _counted(batches):
     """mapInArrow: (h, quality, text) to (h, quality, buckets, times)."""
     for batch in batches:
-        for h, y, text in zip(*(batch.column(c) for c in ("h", "quality", "text")), strict=True):
-            buckets, times = document_buckets(text.as_py() or "")
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([h.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), pa.array([buckets.astype(np.int32).tobytes()], pa.binary()), pa.array([times.astype(np.int32).tobytes()], pa.binary())],
-                names=["h", "quality", "buckets", "times"],
-            )
+        counts: dict[int, np.ndarray] = {}
+
+        def flush(before: int, batch=batch, counts=counts):
+            for i in [i for i in counts if i < before]:
+                tally = counts.pop(i)
+                hit = np.flatnonzero(tally)
+                cells = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (hit, tally[hit])]
+                yield pa.RecordBatch.from_arrays([batch.column("h").slice(i, 1), batch.column("quality").slice(i, 1), *cells], names=["h", "quality", "buckets", "times"])
+
+        for row, kinds in features(batch.column("text")):
+            yield from flush(row)
+            for buckets, starts in kinds:
+                for i, (a, b) in enumerate(zip(starts[:-1], starts[1:], strict=True)):
+                    if b > a:
+                        counts[row + i] = counts.get(row + i, 0) + np.bincount(buckets[a:b], minlength=BUCKETS)
+        yield from flush(batch.num_rows)
 
 
 def is_held_out(doc_id: Column) -> Column:
@@ -151,45 +144,18 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> Model:
 
 
 def _scored(model: Model):
-    """mapInArrow: (doc_id, text) to (doc_id, score). A word's vectors are added up once and remembered."""
+    """mapInArrow: (doc_id, text) to (doc_id, score)."""
 
     def run(batches):
-        kept = sys.__dict__.setdefault("_apexrank_word_sums", {})
-        mark = zlib.crc32(model.vectors.tobytes())
-        if kept.get("mark") != mark:
-            kept.clear()
-            kept |= {"mark": mark, "sums": {}, "rows": np.zeros((1024, WIDTH + 2), np.float32), "codes": np.zeros(1024, np.uint32)}
-        vectors = model.vectors
         for batch in batches:
-            means = np.zeros((batch.num_rows, WIDTH), np.float32)
-            for i, text in enumerate(batch.column("text")):
-                total, times, last = np.zeros(WIDTH, np.float64), 0, None
-                for words in _slabs(text.as_py() or ""):
-                    sums = kept["sums"]
-                    try:
-                        at = np.array(list(map(sums.__getitem__, words)), np.int64)
-                    except KeyError:
-                        if len(sums) > REMEMBERED:
-                            sums.clear()
-                        for w in set(words) - sums.keys():
-                            n = len(sums)
-                            if n == len(kept["rows"]):
-                                kept["rows"] = np.concatenate((kept["rows"], np.zeros_like(kept["rows"])))
-                                kept["codes"] = np.concatenate((kept["codes"], np.zeros_like(kept["codes"])))
-                            found = word_buckets(w)
-                            kept["rows"][n, :WIDTH] = vectors[found].sum(0)
-                            kept["rows"][n, WIDTH] = len(found)
-                            kept["codes"][n] = zlib.crc32(w.encode())
-                            sums[w] = n
-                        at = np.array(list(map(sums.__getitem__, words)), np.int64)
-                    own = kept["rows"][at].sum(0, dtype=np.float64)
-                    codes = kept["codes"][at]
-                    joined = codes if last is None else np.concatenate((last, codes))
-                    pairs = pair_buckets(joined)
-                    total += own[:WIDTH] + vectors[pairs].sum(0, dtype=np.float64)
-                    times += int(own[WIDTH]) + len(pairs)
-                    last = codes[-1:] if len(codes) else last
-                means[i] = total / max(times, 1)
+            total, times = np.zeros((batch.num_rows, WIDTH)), np.zeros((batch.num_rows, 1))
+            for row, kinds in features(batch.column("text")):
+                for buckets, starts in kinds:
+                    full = np.flatnonzero(np.diff(starts))
+                    if len(full):
+                        total[row + full] += np.add.reduceat(model.vectors[buckets], starts[full], axis=0)
+                        times[row + full, 0] += np.diff(starts)[full]
+            means = (total / np.maximum(times, 1)).astype(np.float32)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.scores(means).astype(float), pa.float64())], names=["doc_id", "score"])
 
     return run
