@@ -342,6 +342,7 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("parse_metrics")
 def parse_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # The line names of the run log.
     lines = ["tt_init: 12.5", "tt_procesing: 3.25", "tuple_count: 4096", "tuples_per_second: 1.5e6", "threshold=[1.2]"]
     return files.run_metrics(spark.createDataFrame([(x,) for x in lines], "value string"))
 
