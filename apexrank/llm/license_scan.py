@@ -70,8 +70,8 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: fl
         rows = own.count()
         seen = windows(docs, refs, k).drop("ref_id").dropDuplicates(["key", "start", "n"]).where("size(shingles) > 0")
         seen = settle(seen.withColumn("keys", band_keys(F.col("shingles"))), "windows")
-        bands = own.select("ref_id", F.explode(band_keys(F.col("template"))).alias("band"))
-        near = seen.select("key", "start", "n", F.explode("keys").alias("band")).join(checked(bands, rows * BANDS), "band").select("key", "start", "n", "ref_id").distinct()
+        bands = own.select("ref_id", "n", F.explode(band_keys(F.col("template"))).alias("band"))
+        near = seen.select("key", "start", "n", F.explode("keys").alias("band")).join(checked(bands, rows * BANDS), ["band", "n"]).select("key", "start", "n", "ref_id").distinct()
         near = seen.drop("keys").join(near, ["key", "start", "n"]).join(checked(own.select("ref_id", "template"), rows, 20_000), "ref_id")
         share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
         found.append(near.select("doc_id", "ref_id", "start", "n", share.alias("containment")).where(F.col("containment") >= threshold))

@@ -10,7 +10,7 @@ from .chat_format import control_case, digest_chats, format_chats
 from .common import table
 from .decontamination import contaminated
 from .language_id import predict_languages
-from .license_scan import scan_licenses
+from .license_scan import TEMPLATES, scan_licenses
 from .near_dedup import near_duplicates
 from .quality_model import score_documents
 from .quality_rules import score_quality
@@ -21,6 +21,26 @@ from .warc import archive_pages
 _WORDS = r"list_filter(string_split_regex({}, '[\x20\x09-\x0D]+'), lambda x: x <> '')"
 
 
+_PLAIN = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _window_sql(refs: str) -> str:
+    """CTEs up to pl: the places (doc_id, ref, k, n, st) where a shingle of a reference (ref, text) lines up with a document's."""
+    return f"""it AS (SELECT ref, {_PLAIN.format("text")} AS w FROM ({refs})),
+iw AS (SELECT ref, w, len(w) AS n, least(5, len(w)) AS k FROM it WHERE len(w) > 0),
+ish AS (SELECT ref, n, k, j, array_to_string(w[j + 1 : j + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS j FROM iw)),
+dw AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents),
+dsh AS (SELECT doc_id, nw, k, i, array_to_string(w[i + 1 : i + k], ' ') AS s
+        FROM (SELECT doc_id, w, len(w) AS nw, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM dw, (SELECT DISTINCT k FROM iw))),
+pl AS (SELECT DISTINCT d.doc_id, r.ref, r.k, r.n, greatest(least(d.i - r.j, d.nw - r.n), 0) AS st FROM dsh d JOIN ish r ON d.s = r.s AND d.k = r.k),
+ws AS (SELECT p.doc_id, p.ref, p.n, p.st, d.s, count(*) AS c FROM pl p JOIN dsh d ON d.doc_id = p.doc_id AND d.k = p.k AND d.i BETWEEN p.st AND p.st + p.n - p.k GROUP BY ALL),
+rs AS (SELECT ref, s, count(*) AS c FROM ish GROUP BY ALL)"""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of each document, how many they are, and whether they decode to its text."""
     return encode(table(spark, sf_dir, "documents")).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
@@ -94,6 +114,21 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        NOT (base_failed OR 100 * n_symbols > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
             OR 100 * n_dup_lines > 50 * n_lines) AS kept
 FROM judged""",
+    "op3_license_scan": f"""
+WITH {_window_sql("SELECT row_number() OVER () AS ref, text FROM (VALUES " + ", ".join(f"({_quoted(t)})" for _, t in TEMPLATES) + ") v(text)")},
+name AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, {_quoted(n)})" for i, (n, _) in enumerate(TEMPLATES))}) v(ref, license)),
+best AS (
+  SELECT ws.doc_id, license, ws.n, st, count(rs.s)::DOUBLE / (SELECT count(*) FROM rs x WHERE x.ref = ws.ref) AS containment
+  FROM ws LEFT JOIN rs ON rs.ref = ws.ref AND rs.s = ws.s JOIN name ON name.ref = ws.ref GROUP BY ws.doc_id, license, ws.ref, ws.n, st)
+SELECT doc_id, license, st::INT AS start_word, n::INT AS n_words, containment FROM best WHERE containment >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, st, n DESC) = 1""",
+    "op8_decontamination": f"""
+WITH {_window_sql("SELECT item_id AS ref, text FROM benchmark")},
+size AS (SELECT doc_id, ref, st, sum(c) AS a FROM ws GROUP BY ALL),
+common AS (SELECT ws.doc_id, ws.ref, ws.st, sum(least(ws.c, rs.c)) AS c FROM ws JOIN rs ON rs.ref = ws.ref AND rs.s = ws.s GROUP BY ALL),
+sim AS (SELECT doc_id, ref, st, c::DOUBLE / (a + (SELECT sum(x.c) FROM rs x WHERE x.ref = common.ref) - c)::DOUBLE AS similarity FROM common JOIN size USING (doc_id, ref, st))
+SELECT doc_id, ref AS item_id, st::INT AS start_word, similarity FROM sim WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY similarity DESC, st) = 1""",
     "op5_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
