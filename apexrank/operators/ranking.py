@@ -84,7 +84,7 @@ def first_seen(r: Relation) -> DataFrame:
     seen = positions(r)
     who = F.array_position(F.array(*names), F.col("minpos")) - 1
     seen = seen.withColumn("first_list", who.cast("int"))
-    return _placed(Relation(seen, r.keys, ("minpos",)), ("minpos", "first_list"), "seq")
+    return _placed(Relation(settle(seen), r.keys, ("minpos",)), ("minpos", "first_list"), "seq")
 
 
 def _placed(r: Relation, order, name: str, part: str = "part") -> DataFrame:
@@ -101,7 +101,7 @@ def _placed(r: Relation, order, name: str, part: str = "part") -> DataFrame:
 def blocks(r: Relation, size: int, part: Column | None = None, even: bool = False) -> DataFrame:
     """Rows with part, minpos, seq (place by minpos within the part) and block of at most `size` rows; even: blocks of a part
     differ by as little as ceilings allow."""
-    placed = _placed(Relation(positions(r, part), r.keys, r.attrs), ("minpos",), "seq")
+    placed = _placed(Relation(settle(positions(r, part)), r.keys, r.attrs), ("minpos",), "seq")
     if not even:
         return placed.withColumn("block", F.floor(F.col("seq") / size).cast("int"))
     total = placed.groupBy("part").agg(F.count("*").alias("_n"))

@@ -38,10 +38,11 @@ class BlockIndex:
 def build(r: Relation, size: int, layout: str = "range", layers: DataFrame | None = None) -> BlockIndex:
     """layout `range`: one partition, even blocks; `angle`: a partition for each combination of angle halves; `layer`: for each
     skyline layer, rows with it given as layers. Both tables are written."""
+    r = r.using(settle(r.df))  # read by several jobs below
     if layout == "range":
         blocked = blocks(r, size, even=True)
     else:
-        parted = angle_parts(r) if layout == "angle" else layers.withColumn("part", F.col("layer").cast("int"))
+        parted = settle(angle_parts(r) if layout == "angle" else layers.withColumn("part", F.col("layer").cast("int")))
         blocked = blocks(r.using(parted), size, F.col("part"))
     blocked = settle(blocked.select("part", "block", *r.keys, *[a for a in r.attrs if a not in r.keys], "minpos", *[f"r{m}" for m in range(len(r.attrs))]))
     bounds = settle(block_bounds(blocked, r))
