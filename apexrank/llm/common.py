@@ -38,6 +38,13 @@ def settle(df: DataFrame, what: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, taken) -> str:
+    """name, with as many underscores behind it as make it differ from those taken."""
+    while name in taken:
+        name += "_"
+    return name
+
+
 def checked(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:
     """df marked for broadcast if its counted rows allow; otherwise left for a shuffled join."""
     return F.broadcast(df) if rows <= most else df

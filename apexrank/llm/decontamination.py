@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked, let, settle
+from .common import checked, fresh, let, settle
 from .windows import references, sizes_present, windows
 
 #: Similarity from which a window counts as a copy of an item.
@@ -78,6 +78,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, ..) that hold no copy of an item, columns unchanged."""
-    held = settle(contaminated(docs, items).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col("_doc")) & (F.xxhash64(F.col("text").cast("string")) == F.col("_hash"))
+    who, what = fresh("leak_doc", docs.columns), fresh("leak_hash", docs.columns)
+    held = settle(contaminated(docs, items).select(F.col("doc_id").alias(who), F.col("text_hash").alias(what)).distinct(), "leaks")
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(who)) & (F.xxhash64(F.col("text").cast("string")) == F.col(what))
     return docs.join(checked(held, held.count()), same, "left_anti")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
+from .common import fresh
 
 #: Labelled rows that the classifiers are fitted on at most (drawn by the hash of doc_id).
 TRAIN_ROWS = 3000
@@ -153,8 +154,8 @@ def _with_hash(batches):
             yield pa.RecordBatch.from_arrays([batch.column("lang").slice(row, len(x)), pa.array(body, pa.binary()), pa.array(ids[row : row + len(x)])], names=["lang", "body", "h"])
 
 
-def _scored(model: Model | None, drop: tuple[str, ...]):
-    """mapInArrow: appends lang_pred, score and ambiguous to batches with text and letters (whether the text has one), less `drop`."""
+def _scored(model: Model | None, letters: str, drop: tuple[str, ...], added: tuple[str, ...]):
+    """mapInArrow: appends language, score and doubt, so named, to batches with text and `letters` (whether the text has one), less `drop`."""
 
     def run(batches):
         for batch in batches:
@@ -167,13 +168,13 @@ def _scored(model: Model | None, drop: tuple[str, ...]):
                     langs += [model.langs[i] for i in best]
                     scores += share.astype(float).tolist()
                     unsure += (gap < GAP).tolist()
-            for i, has in enumerate(batch.column("letters").to_pylist()):
+            for i, has in enumerate(batch.column(letters).to_pylist()):
                 if not has:
                     langs[i], scores[i], unsure[i] = "und", 0.0, True
             arrays = [c for c, n in zip(batch.columns, batch.schema.names, strict=True) if n not in drop]
             names = [n for n in batch.schema.names if n not in drop]
             out = [*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
-            yield pa.RecordBatch.from_arrays(out, names=[*names, "lang_pred", "score", "ambiguous"])
+            yield pa.RecordBatch.from_arrays(out, names=[*names, *added])
 
     return run
 
@@ -186,14 +187,16 @@ def is_held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
-def identify(docs: DataFrame, model: Model | None, keep_text: bool = True) -> DataFrame:
-    """docs (with a text column) with lang_pred, score (0 to 1) and ambiguous after them, for each row. A text that is null or has no
-    letter is `und` with score 0, as is every text without a model. Only the text is read; keep_text False leaves it out of the result."""
-    clash = [c for c in ("lang_pred", "score", "ambiguous", "letters") if c in docs.columns]
-    rows = docs.drop(*clash).withColumn("letters", letters(F.col("text")))
-    drop = ("letters",) if keep_text else ("letters", "text")
+def identify(docs: DataFrame, model: Model | None, keep_text: bool = True, added: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """docs (with a text column) with lang_pred, score (0 to 1) and ambiguous after them, under the names `added`, which replace columns
+    so named. A text that is null or has no letter is `und` with score 0, as is every text without a model. Only the text is
+    read; keep_text False leaves it out of the result."""
+    mark = fresh("letters", docs.columns)
+    rows = docs.drop(*[c for c in added if c in docs.columns]).withColumn(mark, letters(F.col("text")))
+    drop = (mark,) if keep_text else (mark, "text")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name not in drop)
-    return rows.mapInArrow(_scored(model, drop), f"{schema}, lang_pred string, score double, ambiguous boolean")
+    new = ", ".join(f"`{n}` {t}" for n, t in zip(added, ("string", "double", "boolean"), strict=True))
+    return rows.mapInArrow(_scored(model, mark, drop, added), f"{schema}, {new}")
 
 
 def predict_languages(docs: DataFrame) -> DataFrame:
@@ -207,4 +210,5 @@ def predict_languages(docs: DataFrame) -> DataFrame:
 def filter_language(docs: DataFrame) -> DataFrame:
     """The rows of docs (doc_id, text, lang, ..) whose language is identified, columns unchanged: `und` goes."""
     model = train(docs.where(~is_held_out(F.col("doc_id"))).select("doc_id", "text", "lang"))
-    return identify(docs, model).where("lang_pred <> 'und'").select(*docs.columns)
+    added = tuple(fresh(n, docs.columns) for n in ("lang_pred", "score", "ambiguous"))
+    return identify(docs, model, added=added).where(F.col(added[0]) != "und").select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import fresh, settle
 
 #: Expected keys in the sample (a bound on what reaches the driver), and ranges that it is cut into.
 SAMPLE_KEYS = 20_000
@@ -96,7 +96,9 @@ def assign_shards(docs: DataFrame, shards: int = 16, ranges: int = RANGES) -> Da
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 16) -> None:
-    """Writes whole rows of docs (doc_id unique) to shard=0.. below path, in the order of slots."""
-    placed = assign_shards(docs, shards).select(F.col("doc_id").alias("_id"), "shard", "slot")
-    rows = docs.join(placed, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
-    rows.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").drop("slot").write.partitionBy("shard").parquet(path)
+    """Writes whole rows of docs (doc_id unique) to shard=0.. below path, in the order of slots. A column of docs called shard is
+    replaced by the folder's number."""
+    own, slot = fresh("own_id", docs.columns), fresh("slot", docs.columns)
+    placed = assign_shards(docs, shards).select(F.col("doc_id").alias(own), "shard", F.col("slot").alias(slot))
+    rows = docs.drop("shard").join(placed, F.col("doc_id").eqNullSafe(F.col(own))).drop(own)
+    rows.repartitionByRange(shards, "shard", slot).sortWithinPartitions("shard", slot).drop(slot).write.partitionBy("shard").parquet(path)

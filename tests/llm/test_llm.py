@@ -311,6 +311,19 @@ def test_languages_of_held_out_documents(spark, odd, none):
     assert language_id.predict_languages(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_stages_keep_clashing_columns(spark, odd, tmp_path):
+    items = spark.createDataFrame([(1, "no such words in any text")], "item_id bigint, text string")
+    clash = odd.withColumns({"lang_pred": F.lit("mine"), "leak_doc": F.lit(5), "shard": F.lit(9), "slot": F.lit("s")})
+    for frame in (language_id.filter_language(clash), decontamination.decontaminate(clash, items), quality_rules.filter_quality(clash)):
+        assert frame.columns == clash.columns
+        assert all((r.lang_pred, r.score, r.letters, r.leak_doc) == ("mine", "clash", "x", 5) for r in frame.collect())
+    unique = clash.where("doc_id <> 9")
+    sharding.write_shards(unique, str(tmp_path / "shards"), 4)
+    back = spark.read.parquet(str(tmp_path / "shards"))
+    assert sorted((r.doc_id, r.text) for r in back.collect() if r.text) == sorted((r.doc_id, r.text) for r in unique.collect() if r.text)
+    assert {r.slot for r in back.collect()} == {"s"}
+
+
 def test_long_texts_count_as_short_ones(monkeypatch):
     text = pa.array([LONG[:3000]])
     want = next(language_id.features(text))[1]
