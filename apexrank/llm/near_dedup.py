@@ -108,6 +108,35 @@ def _linked(percent: int):
     return run
 
 
+def _shingles(batches):
+    """mapInArrow: (id, body) to a row for each shingle."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 64):
+            part = batch.slice(i, 64)
+            sets = [np.frombuffer(x.as_buffer(), np.int64) for x in part.column("body")]
+            ids = np.repeat(part.column("id").to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(sets))], names=["id", "shingle"])
+
+
+def _rare_pairs(body: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(a, b, na, nb) of documents of different components that may be linked, by their rarest shingles; see near_duplicates()."""
+    each = settle(body.mapInArrow(_shingles, "id bigint, shingle bigint"), "shingles")
+    often = settle(each.groupBy("shingle").agg(F.count("*").alias("docs")), "often")
+    listed = each.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("s"))  # of one document each
+    n = F.size("s")
+    rarest = F.slice("s", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
+    posts = listed.select("id", n.alias("n"), F.posexplode(rarest).alias("at", "x")).select("id", "n", "at", "x.shingle").join(checked(labels, labels.count()), "id")
+    posts = settle(posts, "posts")
+    counts = posts.groupBy("shingle", "component").agg(F.count("*").alias("docs"))
+    main = settle(counts.groupBy("shingle").agg(F.max_by("component", "docs").alias("main"), F.count("*").alias("many")).where("many > 1").drop("many"), "main")
+    held = settle(posts.join(main, "shingle"), "held")
+    others = held.where("component <> main").select("shingle", F.col("id").alias("o"), F.col("n").alias("no"), F.col("at").alias("ato"), F.col("component").alias("co"))
+    most = "least(n - at, no - ato)"
+    pairs = held.join(others, "shingle").where(f"component <> co and 100 * {most} >= {percent} * (n + no - {most})")
+    low = F.col("id") < F.col("o")
+    return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), F.when(low, F.col("n")).otherwise(F.col("no")).alias("na"), F.when(low, F.col("no")).otherwise(F.col("n")).alias("nb"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
@@ -117,9 +146,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     kept true. Other columns are ignored. An empty table gives an empty result.
 
     Copies with equal sets are folded into their least doc_id first. A bucket of a band, which may be very large, never meets
-    itself: its least member is verified against all, then leaders drawn by hash, four times as many each round, against the
-    members of other components, until each bucket has one component or all its members have led. No pair is left out unless
-    its documents are already connected.
+    itself: its least member is verified against all. Members of buckets that are then of more than one component are compared
+    by the rarest of their shingles: two sets of the wanted similarity share one among their first n - ceil(percent * n / 100) + 1
+    in an order common to all, rarest first, and the places of the first one that they share bound what they can have in common.
+    So pairs are spared only where documents are already connected or can't be linked, and a large component never meets itself.
     """
     bands, rows = band_shape(percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -141,28 +171,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     first = members.where("id <> leader").join(sizes, "key").select(F.col("leader").alias("a"), F.col("id").alias("b"), "na", F.col("n").alias("nb"))
     links = settle(verified(first), "verified")
     found = settle(connected_components(links), "components")
-    done = 1.0
-    while True:
-        labels = checked(found, found.count())
-        now = members.where("id <> leader").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        # A key whose remaining members are one component has nothing left to find.
-        open_keys = now.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-        open_keys = settle(open_keys, "open")
-        if open_keys.isEmpty():
-            break
-        # Leaders have a low draw. Those of earlier rounds have met every member; `share` of a key's members lead by now.
-        draw = (F.pmod(F.xxhash64("id"), F.lit(1 << 30)) + 1) / F.lit(float(1 << 30))
-        now = now.join(open_keys, "key", "left_semi").withColumn("share", F.least(F.lit(4.0 * done) / F.col("size"), F.lit(1.0))).withColumn("past", F.when(F.lit(done) > 1, F.least(F.lit(done) / F.col("size"), F.lit(1.0))).otherwise(0.0)).withColumn("draw", draw).where("draw > past")
-        now = settle(now.select("key", "id", "n", "component", "draw", "share"), "open-members")
-        if now.isEmpty():
-            break
-        lead = now.where("draw <= share").select("key", F.col("id").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"), F.col("draw").alias("da"))
-        pairs = now.join(lead, "key").where("component <> ca and (draw > share or draw > da or (draw = da and id > a))").select("a", F.col("id").alias("b"), "na", F.col("n").alias("nb"))
-        fresh = settle(verified(pairs), "verified")
+    labelled = members.where("id <> leader").select("key", "id").join(checked(found, found.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    unsettled = settle(labelled.join(settle(open_keys, "open"), "key", "left_semi").select("id", "component").distinct(), "unsettled")
+    if not unsettled.isEmpty():
+        fresh = settle(verified(_rare_pairs(body.join(unsettled.select("id"), "id", "left_semi"), unsettled, percent)), "verified")
         if not fresh.isEmpty():
-            links = links.unionByName(fresh)
-            found = settle(connected_components(links), "components")
-        done *= 4.0
+            found = settle(connected_components(links.unionByName(fresh)), "components")
 
     tops = classes.join(checked(found, found.count()), "id", "left").select("n_shingles", "sum_a", "sum_b", F.coalesce("component", "id").alias("component_id"))
     return _attach(signed, settle(tops, "tops"))
