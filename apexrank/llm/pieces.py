@@ -20,7 +20,7 @@ MINUS = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Words and pairs of pieces whose segmentation a worker remembers in each of two generations.
-REMEMBERED = 100_000
+REMEMBERED = 300_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -73,9 +73,11 @@ class Vocabulary:
         whole = all(not re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids)
         #: Where no piece can lie across: before a space behind another character, and around a line end. None: nowhere.
         self.word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+") if whole else None
+        self.four = [i.to_bytes(4, "little") for i in range(len(self.pieces))]
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
         self.heads = {p[:n] for p in self.ids for n in range(1, len(p))}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}  # whether a piece fits behind another
+        self.paired = 0
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
@@ -127,12 +129,14 @@ class Vocabulary:
         if self.model == UNIGRAM:
             found = self.ids.get(piece)
             return self.scores[found] if found is not None else self.floor
-        key = (last, piece)
-        fits = self.pairs.get(key)
+        fits = self.pairs.get(last, {}).get(piece)
         if fits is None:
-            if len(self.pairs) >= 2 * REMEMBERED:
+            if self.paired >= REMEMBERED:
                 self.pairs.clear()
-            fits = self.pairs[key] = self.merged(last + piece) == ([last, piece] if last else [piece])
+                self.paired = 0
+            self.paired += 1
+            fits = self.merged(last + piece) == ([last, piece] if last else [piece])
+            self.pairs.setdefault(last, {})[piece] = fits
         return 0.0 if fits else MINUS
 
     def starts(self, text: str, at: int) -> list[str]:
@@ -155,6 +159,10 @@ class Vocabulary:
             return [self.bytes_at[b] for b in piece.encode()]
         return [self.unknown]
 
+    def packed(self, piece: str) -> bytes:
+        found = self.ids.get(piece)
+        return self.four[found] if found is not None else b"".join([self.four[i] for i in self.numbers(piece)])
+
     # The scan. A state at a cut is (last piece, its characters beyond the cut): the first node at or after the cut.
 
     def is_reset(self, text: str, cut: int) -> bool:
@@ -214,25 +222,30 @@ class Vocabulary:
         return out[::-1]
 
     def only_path(self, text: str) -> list[str]:
-        """trace() from the start for BPE, where just one node at each position can be reached from there with a finite weight."""
-        last: list[str | None] = [None] * (len(text) + 1)
-        last[0] = ""
-        pairs = self.pairs
-        for at in range(len(text)):
-            before = last[at]
-            if before is None:
-                continue
-            for piece in self.starts(text, at):
-                end = at + len(piece)
-                if last[end] is None:
-                    fits = pairs.get((before, piece))
-                    if fits or (fits is None and self.weight(before, piece) > MINUS):
-                        last[end] = piece
-        out, at = [], len(text)
-        while at:
-            out.append(last[at])
-            at -= len(last[at])
-        return out[::-1]
+        """trace() from the start for BPE, where just one path to each position has a finite weight: longer pieces are tried first, and
+        a position from which the end was not reached is not tried again."""
+        n, pairs, dead = len(text), self.pairs, set()
+        path, waiting = [], []
+        at, before, choices = 0, "", self.starts(text, 0)
+        while True:
+            known = pairs.get(before) or {}
+            while choices:
+                piece = choices.pop()
+                if at + len(piece) in dead:
+                    continue
+                fits = known.get(piece)
+                if fits or (fits is None and self.weight(before, piece) > MINUS):
+                    path.append(piece)
+                    waiting.append((at, before, choices))
+                    at, before = at + len(piece), piece
+                    if at == n:
+                        return path
+                    choices = self.starts(text, at)
+                    break
+            else:
+                dead.add(at)
+                at, before, choices = waiting.pop()
+                path.pop()
 
     def word_ids(self, word: str) -> bytes:
         """Little-endian 32-bit ids of a stretch that no piece crosses the ends of."""
@@ -240,8 +253,7 @@ class Vocabulary:
         if found is None:
             found = self.older.get(word)
             if found is None:
-                pieces = self.only_path(word) if self.model == BPE else self.trace(word, 0, len(word), ("", 0))
-                found = np.array([i for p in pieces for i in self.numbers(p)], "<i4").tobytes()
+                found = b"".join(map(self.packed, self.only_path(word) if self.model == BPE else self.trace(word, 0, len(word), ("", 0))))
             if len(word) <= 40:
                 if len(self.known) >= REMEMBERED:
                     self.older, self.known = self.known, {}
