@@ -13,7 +13,7 @@ from . import kernels
 from .common import fresh
 
 #: Labelled rows that the classifiers are fitted on at most (drawn by the hash of doc_id).
-TRAIN_ROWS = 3000
+TRAIN_ROWS = 1200
 #: Buckets for pairs and for triples of bytes.
 PAIRS, TRIPLES = 2048, 4096
 WIDTH = PAIRS + TRIPLES
@@ -133,17 +133,13 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> Model | None:
     are used; None where there is none. Only a share of rows near that bound is sorted and leaves the executors."""
     labelled = rows.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     total = rows.count()
-    if total > 3 * most:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 3 * most / total))
+    if total > 1.5 * most:
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 1.5 * most / total))
     labelled = labelled.mapInArrow(_with_hash, "lang string, body binary, h bigint").orderBy("h", "body").limit(most).collect()
-    seen, x, langs = set(), [], []
-    for r in labelled:
-        key = (r.lang, bytes(r.body))
-        if key not in seen:  # copies teach nothing new
-            seen.add(key)
-            x.append(np.frombuffer(r.body, np.float16).astype(np.float32))
-            langs.append(r.lang)
-    return fit(np.array(x), langs) if x else None
+    first = {(r.lang, bytes(r.body)): None for r in labelled}  # copies teach nothing new
+    del labelled
+    x = np.frombuffer(b"".join(body for _, body in first), np.float16).astype(np.float32).reshape(-1, WIDTH)
+    return fit(x, [lang for lang, _ in first]) if first else None
 
 
 def _with_hash(batches):
