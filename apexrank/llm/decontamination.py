@@ -45,13 +45,19 @@ def common_weight(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(slow)
 
 
+def _least(k: int, threshold: float):
+    """See windows(): the shingles in common from which two texts are `threshold` similar."""
+    return lambda words, n, distinct: F.ceil((F.least(words, n) + n - 2 * k + 2) * threshold / (1 + threshold) - 1e-6).cast("int")
+
+
 def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, text_hash, item_id, start_word, similarity: the best window of each row of docs (doc_id, text) for each item of items
     (item_id, text) that it holds a copy of, in words of letters and digits, case aside.
 
-    similarity is the weighted Jaccard similarity of the shingles of five words of a window and of the item (of as many words),
-    a shingle's weight being how often it occurs; from `threshold` a window is a copy. Items with fewer than five words are one
-    shingle. Null and wordless texts hold nothing; of ties the first window is given; rows with one doc_id are looked at each,
+    similarity is the weighted Jaccard similarity of the shingles of five words of a window and of the item (of as many words; the
+    window can start anywhere, and the whole text is the window of a shorter text), a shingle's weight being how often it occurs; from `threshold` a window is a copy. Items with fewer than five words are one
+    shingle. Null and wordless texts hold nothing; of ties the first window is given, those first that have a shingle where
+    the item has it; rows with one doc_id are looked at each,
     and equal results of theirs are given once. Other columns are ignored; an empty table on either side gives none.
     """
     refs = references(items.select(F.col("item_id").alias("ref_id"), "text").dropDuplicates())
@@ -60,16 +66,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
         own = refs.where(F.col("k") == k).select("ref_id", F.col("shingles").alias("item"), simhash(F.col("shingles")).alias("item_print"))
         own = settle(own, "prints")
         rows = own.count()
-        seen = settle(windows(docs, refs, k).withColumn("print", simhash(F.col("shingles"))), "windows")
+        seen = settle(windows(docs, refs, k, _least(k, threshold)).withColumn("print", simhash(F.col("shingles"))), "windows")
         left = seen.select("key", "ref_id", "start", F.explode(blocks(F.col("print"))).alias("b")).select("key", "ref_id", "start", "b.*")
         right = own.select("ref_id", F.explode(blocks(F.col("item_print"))).alias("b")).select("ref_id", "b.*")
         near = left.join(checked(right, rows * BLOCKS), ["ref_id", "block", "bits"]).select("key", "ref_id", "start").distinct()
         near = seen.join(near, ["key", "ref_id", "start"]).join(checked(own, rows, 20_000), "ref_id")
         near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
         inner = common_weight(F.col("shingles"), F.col("item"))
-        scored = near.select("doc_id", "text_hash", "ref_id", "start", F.size("shingles").alias("a"), F.size("item").alias("b"), inner.alias("c"))
+        scored = near.select("doc_id", "text_hash", "ref_id", "start", "lined", F.size("shingles").alias("a"), F.size("item").alias("b"), inner.alias("c"))
         scored = scored.withColumn("similarity", F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).where(F.col("similarity") >= threshold)
-        found.append(scored.groupBy("doc_id", "text_hash", "ref_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("before"))).alias("best")))
+        found.append(scored.groupBy("doc_id", "text_hash", "ref_id").agg(F.max(F.struct("similarity", "lined", (-F.col("start")).alias("before"))).alias("best")))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, text_hash bigint, item_id bigint, start_word int, similarity double")
     every = reduce(DataFrame.unionByName, found)

@@ -408,6 +408,35 @@ def test_leaks_beyond_the_inline_bound(spark, docs, monkeypatch):
     assert sorted(map(tuple, decontamination.contaminated(frame, items).collect())) == want
 
 
+def edited(n, ends, inserted):
+    """n distinct words, and a copy of them with `ends` words changed at each end and `inserted` words put in the middle."""
+    own = [f"w{i}" for i in range(n)]
+    copy = [f"a{i}" for i in range(ends)] + own[ends : n // 2] + [f"b{i}" for i in range(inserted)] + own[n // 2 : n - ends] + [f"c{i}" for i in range(ends)]
+    return " ".join(own), " ".join(copy)
+
+
+def most_common(text, ref, distinct):
+    """(words of the reference, most shingles in common in any window as long as it)"""
+    w, own = plain(text), plain(ref)
+    of = (lambda t: Counter(set(runs(t)))) if distinct else (lambda t: Counter(runs(t)))
+    return max(sum((of(own) & of(w[s : s + len(own)])).values()) for s in range(max(1, len(w) - len(own) + 1)))
+
+
+@pytest.mark.parametrize("around", ["", "before it some words stand and after it others"])
+def test_leaks_with_insertions_and_changed_ends(spark, around):
+    pairs = [edited(60, 1, 2), edited(200, 6, 12), edited(60, 2, 0), edited(60, 8, 8)]
+    items = spark.createDataFrame([(i, own) for i, (own, _) in enumerate(pairs)], "item_id bigint, text string")
+    rows = [(i, f"{around} {copy} {around}") for i, (_, copy) in enumerate(pairs)]
+    want = {}
+    for i, text in rows:
+        for item, (own, _) in enumerate(pairs):
+            c, size = most_common(text, own, False), len(plain(own)) - 4
+            if c >= 0.8 * (2 * size - c):
+                want[i, item] = c / (2 * size - c)
+    found = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(spark.createDataFrame(rows, "doc_id bigint, text string"), items).collect()}
+    assert found == want and {(0, 0), (1, 1), (2, 2)} <= set(found) and (3, 3) not in found
+
+
 def test_licenses_equal_brute_force(spark, docs, odd, none):
     rows = [*docs, (7001, "x " * 30 + "RELEASED under the mit license. " + "y " * 9), (7002, license_scan.TEMPLATES[2][1].replace("copies", "copie")), (7003, "Released under the GPL license"), (7004, None)]
     want = set()
