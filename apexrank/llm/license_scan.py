@@ -56,7 +56,8 @@ def band_keys(shingles: Column) -> Column:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, start_word, n_words, containment for each place of docs (doc_id, text) that holds a template of known (license,
     text; default: TEMPLATES): the place where the most of the template's distinct shingles of five words is found, if that is
-    `threshold` of them or more; the first of ties. Words are runs of letters and digits, case aside, and start_word counts them from 0.
+    `threshold` of them or more; of ties the first, those first that have a shingle where the template has it. Words are runs
+    of letters and digits, case aside, and start_word counts them from 0.
 
     Of several templates of one license the best is given. A template with fewer than five words is one shingle. Null and wordless
     texts hold nothing; rows are scanned each, and equal rows give one result for a doc_id. Other columns are ignored; empty tables give none.
@@ -68,15 +69,17 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: fl
     for k in sizes_present(refs):
         own = settle(refs.where(F.col("k") == k).select("ref_id", F.array_distinct("shingles").alias("template"), "n"), "sets")
         rows = own.count()
-        seen = windows(docs, refs, k).drop("ref_id").dropDuplicates(["key", "start", "n"]).where("size(shingles) > 0")
+        seen = windows(docs, refs, k, lambda words, n, distinct: F.ceil(distinct * threshold - 1e-6).cast("int")).where("size(shingles) > 0")
+        once = [F.first(c).alias(c) for c in ("doc_id", "shingles")]
+        seen = seen.groupBy("key", "start", "n").agg(*once, F.collect_set(F.when(F.col("lined"), F.col("ref_id"))).alias("lined"))
         seen = settle(seen.withColumn("keys", band_keys(F.col("shingles"))), "windows")
         bands = own.select("ref_id", "n", F.explode(band_keys(F.col("template"))).alias("band"))
         near = seen.select("key", "start", "n", F.explode("keys").alias("band")).join(checked(bands, rows * BANDS), ["band", "n"]).select("key", "start", "n", "ref_id").distinct()
         near = seen.drop("keys").join(near, ["key", "start", "n"]).join(checked(own.select("ref_id", "template"), rows, 20_000), "ref_id")
         share = F.size(F.array_intersect("template", "shingles")) / F.size("template")
-        found.append(near.select("doc_id", "ref_id", "start", "n", share.alias("containment")).where(F.col("containment") >= threshold))
+        found.append(near.select("doc_id", "ref_id", "start", "n", F.array_contains("lined", F.col("ref_id")).alias("lined"), share.alias("containment")).where(F.col("containment") >= threshold))
     if not found:
         return docs.sparkSession.createDataFrame([], "doc_id bigint, license string, start_word int, n_words int, containment double")
     every = reduce(DataFrame.unionByName, found).join(checked(named.select("ref_id", "license"), named.count()), "ref_id")
-    best = every.groupBy("doc_id", "license").agg(F.max(F.struct("containment", (-F.col("start")).alias("before"), "n")).alias("best"))
+    best = every.groupBy("doc_id", "license").agg(F.max(F.struct("containment", "lined", (-F.col("start")).alias("before"), "n")).alias("best"))
     return best.select("doc_id", "license", (-F.col("best.before")).alias("start_word"), F.col("best.n").alias("n_words"), "best.containment")

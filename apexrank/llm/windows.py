@@ -26,15 +26,14 @@ def references(refs: DataFrame) -> DataFrame:
     return settle(sized.select("ref_id", "n", "k", pick.alias("shingles")), "references")
 
 
-def windows(docs: DataFrame, refs: DataFrame, k: int, least: Callable[[Column, Column, Column], Column] | None = None) -> DataFrame:
+def windows(docs: DataFrame, refs: DataFrame, k: int, least: Callable[[Column, Column, Column], Column]) -> DataFrame:
     """key, doc_id, text_hash, ref_id, start, n, lined, shingles: windows of docs (doc_id, text) of as many words as a reference. key
     numbers the rows of docs; start counts words from 0; lined tells that some shingle of k words stands where the reference has it.
 
     least(words, n, distinct) gives the shingles of the reference that a window holds at least, to be of use, by the words of the
     text and of the reference and the reference's distinct shingles. From one start to the next, what a window holds grows only
     where a shingle of the reference comes in at its end. So the first of the best windows ends with one or starts at 0, and these
-    are given besides the lined ones, if the reference's shingles in them are that many. Where none is, no window of the text is.
-    Without `least` only lined windows are given."""
+    are given besides the lined ones, if the reference's shingles in them are that many. Where none is, no window of the text is."""
     own = refs.where(F.col("k") == k)
     marks = settle(own.select("ref_id", "n", F.size(F.array_distinct("shingles")).alias("distinct"), F.posexplode("shingles").alias("j", "h")), "marks")
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).where("text is not null")
@@ -59,14 +58,11 @@ def windows(docs: DataFrame, refs: DataFrame, k: int, least: Callable[[Column, C
     start = F.greatest(F.least(F.col("i") - F.col("j"), F.col("words") - F.col("n")), F.lit(0))
     places = hits.join(checked(marks, rows), "h").groupBy("key", "ref_id", "n", "distinct", "words")
     places = places.agg(F.collect_set(start).alias("lined"), F.sort_array(F.collect_set("i")).alias("hits"))
-    if least is None:
-        places = places.withColumn("starts", F.col("lined"))
-    else:
-        places = places.withColumn("least", F.greatest(least(F.col("words"), F.col("n"), F.col("distinct")), F.lit(1)))
-        # The window that ends with hit t holds so many if hit t - least + 1 is in it.
-        full = F.filter("hits", lambda i, t: F.get("hits", t - F.col("least") + 1) >= i - F.col("n") + k)
-        places = places.withColumn("full", F.transform(full, lambda i: F.greatest(i - F.col("n") + k, F.lit(0)))).where("size(full) > 0")
-        places = places.withColumn("starts", F.array_union("lined", "full"))
+    places = places.withColumn("least", F.greatest(least(F.col("words"), F.col("n"), F.col("distinct")), F.lit(1)))
+    # The window that ends with hit t holds so many if hit t - least + 1 is in it.
+    full = F.filter("hits", lambda i, t: F.get("hits", t - F.col("least") + 1) >= i - F.col("n") + k)
+    places = places.withColumn("full", F.transform(full, lambda i: F.greatest(i - F.col("n") + k, F.lit(0)))).where("size(full) > 0")
+    places = places.withColumn("starts", F.array_union("lined", "full"))
     at = F.struct("ref_id", "n", F.transform("starts", lambda s: F.struct(s.alias("start"), F.array_contains("lined", s).alias("lined"))).alias("starts"))
     gathered = settle(places.select("key", at.alias("at")).groupBy("key").agg(F.collect_list("at").alias("places")), "places")  # of one document each
     found = held.select("key", "doc_id", "text_hash", "tokens").join(gathered, "key")

@@ -452,6 +452,17 @@ def test_licenses_equal_brute_force(spark, docs, odd, none):
     assert license_scan.scan_licenses(none).collect() == [] and license_scan.scan_licenses(odd).collect() == []
 
 
+@pytest.mark.parametrize("around", ["", "before it some words stand and after it others"])
+def test_licenses_with_insertions_and_changed_ends(spark, around):
+    pairs = [edited(53, 2, 4), edited(36, 1, 2), edited(40, 4, 0), edited(40, 9, 6)]
+    known = spark.createDataFrame([(str(i), own) for i, (own, _) in enumerate(pairs)], "license string, text string")
+    rows = [(i, f"{around} {copy} {around}") for i, (_, copy) in enumerate(pairs)]
+    shares = {(i, str(j)): most_common(text, own, True) / (len(plain(own)) - 4) for i, text in rows for j, (own, _) in enumerate(pairs)}
+    found = {(r.doc_id, r.license): r.containment for r in license_scan.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string"), known).collect()}
+    assert found == {at: share for at, share in shares.items() if share >= 0.8}
+    assert {(0, "0"), (1, "1")} <= set(found) and (3, "3") not in found
+
+
 # The pipeline
 
 
