@@ -132,7 +132,7 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> Model | None:
     """A model of rows (doc_id, text, lang) with text and lang, of which at most `most`, those with the least hash of doc_id,
     are used; None where there is none. Only a share of rows near that bound is sorted and leaves the executors."""
     labelled = rows.where("text is not null and lang is not null").select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    total = rows.count()
+    total = labelled.count()
     if total > 1.5 * most:
         labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int((1 << 20) * 1.5 * most / total))
     labelled = labelled.mapInArrow(_with_hash, "lang string, body binary, h bigint").orderBy("h", "body").limit(most).collect()

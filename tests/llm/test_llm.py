@@ -311,6 +311,14 @@ def test_languages_of_held_out_documents(spark, odd, none):
     assert language_id.predict_languages(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def test_few_labels_among_many_rows_are_all_used(spark, monkeypatch):
+    rows = [(i, f"text number {i} of many", ("en", "fr")[i % 2] if i % 100 < 2 else None) for i in range(4000)]
+    seen = []
+    monkeypatch.setattr(language_id, "fit", lambda x, langs: seen.append(Counter(langs)))
+    language_id.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert seen == [Counter(en=40, fr=40)]
+
+
 def test_stages_keep_clashing_columns(spark, odd, tmp_path):
     items = spark.createDataFrame([(1, "no such words in any text")], "item_id bigint, text string")
     clash = odd.withColumns({"lang_pred": F.lit("mine"), "leak_doc": F.lit(5), "shard": F.lit(9), "slot": F.lit("s")})
