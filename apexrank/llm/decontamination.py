@@ -13,7 +13,8 @@ from .windows import references, sizes_present, windows
 #: Similarity from which a window counts as a copy of an item.
 THRESHOLD = 0.8
 #: Radius of the fingerprints. At similarity 0.8 a bit differs with probability 0.15, so 64 bits differ by 10 on average and by
-#: over 23 once in a million; RADIUS + 1 blocks guarantee a block in common to all pairs within the radius.
+#: over 23 once in a million; RADIUS + 1 blocks guarantee a block in common to all pairs within the radius. A shingle that repeats
+#: itself moves bits by its whole weight, so pairs with one are compared exactly whatever their fingerprints.
 BITS, RADIUS = 64, 23
 BLOCKS = RADIUS + 1
 
@@ -45,6 +46,10 @@ def common_weight(a: Column, b: Column) -> Column:
     return F.when(plain, F.size(F.array_intersect(a, b))).otherwise(slow)
 
 
+def repeats(shingles: Column) -> Column:
+    return F.size(F.array_distinct(shingles)) < F.size(shingles)
+
+
 def _least(k: int, threshold: float):
     """See windows(): the shingles in common from which two texts are `threshold` similar."""
     return lambda words, n, distinct: F.ceil((F.least(words, n) + n - 2 * k + 2) * threshold / (1 + threshold) - 1e-6).cast("int")
@@ -63,15 +68,16 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     refs = references(items.select(F.col("item_id").alias("ref_id"), "text").dropDuplicates())
     found = []
     for k in sizes_present(refs):
-        own = refs.where(F.col("k") == k).select("ref_id", F.col("shingles").alias("item"), simhash(F.col("shingles")).alias("item_print"))
+        own = refs.where(F.col("k") == k).select("ref_id", F.col("shingles").alias("item"), simhash(F.col("shingles")).alias("item_print"), repeats(F.col("shingles")).alias("item_repeats"))
         own = settle(own, "prints")
         rows = own.count()
         seen = settle(windows(docs, refs, k, _least(k, threshold)).withColumn("print", simhash(F.col("shingles"))), "windows")
         left = seen.select("key", "ref_id", "start", F.explode(blocks(F.col("print"))).alias("b")).select("key", "ref_id", "start", "b.*")
         right = own.select("ref_id", F.explode(blocks(F.col("item_print"))).alias("b")).select("ref_id", "b.*")
-        near = left.join(checked(right, rows * BLOCKS), ["ref_id", "block", "bits"]).select("key", "ref_id", "start").distinct()
-        near = seen.join(near, ["key", "ref_id", "start"]).join(checked(own, rows, 20_000), "ref_id")
-        near = near.where(F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+        near = left.join(checked(right, rows * BLOCKS), ["ref_id", "block", "bits"]).select("key", "ref_id", "start", F.lit(True).alias("met")).distinct()
+        near = seen.join(near, ["key", "ref_id", "start"], "left").join(checked(own, rows, 20_000), "ref_id")
+        within = F.col("met") & (F.bit_count(F.col("print").bitwiseXOR(F.col("item_print"))) <= RADIUS)
+        near = near.where(within | F.col("item_repeats") | repeats(F.col("shingles")))
         inner = common_weight(F.col("shingles"), F.col("item"))
         scored = near.select("doc_id", "text_hash", "ref_id", "start", "lined", F.size("shingles").alias("a"), F.size("item").alias("b"), inner.alias("c"))
         scored = scored.withColumn("similarity", F.col("c") / (F.col("a") + F.col("b") - F.col("c"))).where(F.col("similarity") >= threshold)

@@ -460,6 +460,15 @@ def test_licenses_equal_brute_force(spark, docs, odd, none):
     assert license_scan.scan_licenses(none).collect() == [] and license_scan.scan_licenses(odd).collect() == []
 
 
+def test_leaks_of_repeated_shingles(spark):
+    pairs = [("x " * 49 + "y " * 59, "x " * 59 + "y " * 49), ("p " * 44 + "q " * 64, "p " * 54 + "q " * 54), ("yes no " * 20 + "a b c d", "yes no " * 20 + "e f g h")]
+    items = [(i, own) for i, (own, _) in enumerate(pairs)]
+    rows = [(i, copy) for i, (_, copy) in enumerate(pairs)]
+    frames = spark.createDataFrame(rows, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontamination.contaminated(*frames).collect()}
+    assert found == brute_leaks(rows, items) == {(0, 0), (1, 1), (2, 2)}
+
+
 @pytest.mark.parametrize("around", ["", "before it some words stand and after it others"])
 def test_licenses_with_insertions_and_changed_ends(spark, around):
     pairs = [edited(53, 2, 4), edited(36, 1, 2), edited(40, 4, 0), edited(40, 9, 6)]
