@@ -63,7 +63,10 @@ def record(page_id: int | None, uri: str, digest: str, kind: str, refers_to: int
 def parse_record(raw: bytes) -> dict:
     """The record's headers and block; WarcError unless version, headers, lengths and digest hold."""
     head, cut, rest = raw.partition(b"\r\n\r\n")
-    lines = head.decode().split("\r\n")
+    try:
+        lines = head.decode().split("\r\n")
+    except UnicodeDecodeError as bad:
+        raise WarcError(f"headers are not UTF-8: {bad.reason}") from None
     if not cut or lines[0] not in ("WARC/1.0", "WARC/1.1"):
         raise WarcError(f"not a WARC record: {lines[0][:40]!r}")
     fields = {}
@@ -80,6 +83,8 @@ def parse_record(raw: bytes) -> dict:
         raise WarcError(f"content length {fields['content-length']} does not match {len(rest) - 4} bytes")
     block = rest[:length]
     claimed = fields.get("warc-payload-digest", "")
+    if fields["warc-type"] == "revisit" and not fields.get("x-payload-length", "").isdigit():
+        raise WarcError("a revisit does not tell its payload's length")
     if fields["warc-type"] == "response" and claimed.startswith(DIGEST) and hashlib.sha256(block).hexdigest() != claimed[len(DIGEST) :]:
         raise WarcError("payload digest does not match the block")
     return {"fields": fields, "block": block}
@@ -93,8 +98,9 @@ def archive_head(dictionary: bytes) -> bytes:
     return struct.pack("<II", DICT_FRAME, len(body)) + body
 
 
-def read_archive(stream, most: int = 1 << 31):
-    """Yields the records of an archive (a binary file object) one by one; a frame has to hold one whole record."""
+def read_archive(stream, most: int = 1 << 31, faults: bool = False):
+    """Yields the records of an archive (a binary file object) one by one; a frame has to hold one whole record. A fault raises
+    WarcError; with faults, it is yielded instead, and the archive is left where frames can't be told apart any more."""
     data, options = b"", {}
     data = stream.read(8)
     if len(data) == 8 and struct.unpack("<I", data[:4])[0] == DICT_FRAME:
@@ -103,24 +109,40 @@ def read_archive(stream, most: int = 1 << 31):
         if len(body) != size:
             raise WarcError("the dictionary frame is cut short")
         if body[:4] == struct.pack("<I", FRAME_MAGIC):
-            body = zstandard.ZstdDecompressor().decompress(body, max_output_size=16 << 20)
+            try:
+                body = zstandard.ZstdDecompressor().decompress(body, max_output_size=16 << 20)
+            except zstandard.ZstdError as bad:
+                raise WarcError(f"the dictionary is damaged: {bad}") from None
         if body[:4] != struct.pack("<I", DICT_MAGIC):
             raise WarcError("the leading frame holds no dictionary")
         options, data = {"dict_data": zstandard.ZstdCompressionDict(body)}, b""
     reader = zstandard.ZstdDecompressor(**options)
     while data or (data := stream.read(1 << 18)):
         frame, parts, size = reader.decompressobj(), [], 0
-        while True:
-            parts.append(frame.decompress(data))
-            size += len(parts[-1])
-            if size > most:
-                raise WarcError("a record is larger than allowed")
-            if frame.eof:
-                data = frame.unused_data
-                break
-            if not (data := stream.read(1 << 18)):
-                raise WarcError("the last frame is cut short")
-        yield parse_record(b"".join(parts))
+        try:
+            while True:
+                parts.append(frame.decompress(data))
+                size += len(parts[-1])
+                if size > most:
+                    raise WarcError("a record is larger than allowed")
+                if frame.eof:
+                    data = frame.unused_data
+                    break
+                if not (data := stream.read(1 << 18)):
+                    raise WarcError("the last frame is cut short")
+        except (WarcError, zstandard.ZstdError) as bad:
+            fault = bad if isinstance(bad, WarcError) else WarcError(f"a frame is damaged: {bad}")
+            if not faults:
+                raise fault from None
+            yield {"fault": str(fault)}
+            return
+        try:
+            found = parse_record(b"".join(parts))
+        except WarcError as bad:
+            if not faults:
+                raise
+            found = {"fault": str(bad)}
+        yield found
 
 
 def _writer(folder: str, dictionary: bytes):
@@ -164,25 +186,39 @@ def _number(name: str | None) -> int | None:
     return int(tail) if tail.lstrip("-").isdigit() else None
 
 
-def _reader(batches):
-    """mapInArrow: archives (content) to their records."""
-    schema = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
-    for batch in batches:
-        for content in batch.column("content"):
-            rows, size = [], 0
-            for found in read_archive(io.BytesIO(content.as_buffer())):
-                f = found["fields"]
-                kind = f["warc-type"]
-                uri = f.get("warc-target-uri", "").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
-                block = found["block"] if kind == "response" else None
-                length = len(block) if block is not None else int(f["x-payload-length"])
-                rows.append((_number(f["warc-record-id"]), uri, length, f["warc-payload-digest"].removeprefix(DIGEST), kind, _number(f.get("warc-refers-to")), block))
-                size += len(found["block"])
-                if size > 4 << 20:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.values(), strict=True)], names=list(schema))
-                    rows, size = [], 0
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.values(), strict=True)], names=list(schema))
+FIELDS = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
+
+
+def _reader(faults: bool):
+    """mapInArrow: archives (content) to their records; with faults, also a row with only `fault` for each record that is refused."""
+    schema = FIELDS | ({"fault": pa.string()} if faults else {})
+
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.values(), strict=True)], names=list(schema))
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.column("content"):
+                rows, size = [], 0
+                for found in read_archive(io.BytesIO(content.as_buffer()), faults=faults):
+                    if "fault" in found:
+                        rows.append((*[None] * len(FIELDS), found["fault"]))
+                        continue
+                    f = found["fields"]
+                    kind = f["warc-type"]
+                    uri = f.get("warc-target-uri", "").replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                    block = found["block"] if kind == "response" else None
+                    length = len(block) if block is not None else int(f.get("x-payload-length", len(found["block"])))
+                    row = (_number(f["warc-record-id"]), uri, length, f.get("warc-payload-digest", "").removeprefix(DIGEST), kind, _number(f.get("warc-refers-to")), block)
+                    rows.append((*row, None) if faults else row)
+                    size += len(found["block"])
+                    if size > 4 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch_of(rows)
+
+    return run
 
 
 def plan_records(pages: DataFrame) -> DataFrame:
@@ -209,27 +245,33 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str, dictionary: bytes) -> DataFrame:
-    """Writes records below folder (a URI that driver and executors share); returns (name, records) of the whole archives."""
+    """Writes records (as plan_records() gives them, all rows, repeated ones too; other columns are left out) below folder, a URI that
+    driver and executors share; returns (name, records) of the whole archives. A record of any length is one frame; no row, no archive."""
     store, base = pafs.FileSystem.from_uri(folder)
     store.create_dir(base, recursive=True)
-    return settle(records.mapInArrow(_writer(folder, dictionary), "name string, records bigint"), "archives")
+    own = records.select("page_id", "url", "payload_digest", "record_type", "refers_to", "payload", "payload_bytes")
+    return settle(own.mapInArrow(_writer(folder, dictionary), "name string, records bigint"), "archives")
 
 
-def read_archives(spark, folder: str, names: DataFrame) -> DataFrame:
-    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of the named archives' records."""
+def read_archives(spark, folder: str, names: DataFrame, faults: bool = False) -> DataFrame:
+    """page_id, url, payload_bytes, payload_digest, record_type, refers_to, payload of the records of the archives in names (name, ..),
+    in which a repeated name counts once. A refused record fails the job; with faults it is a row with nulls and the reason in
+    `fault`, null for sound records. Payloads of any length are given whole (null for a revisit); no names, no rows."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("path", "content")
     own = F.element_at(F.split("path", "/"), -1)
     kept = files.withColumn("name", own).join(names.select("name"), "name", "left_semi").select("content")
-    return kept.mapInArrow(_reader, "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    return kept.mapInArrow(_reader(faults), READ + (", fault string" if faults else ""))
+
+
+READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes every row of pages (page_id, url, html) as a record of Zstandard archives in the shared folder, and returns what
-    the archives hold, read back and validated. The dictionary is trained on up to DICT_ROWS payloads drawn by the hash of
-    page_id. Other columns are ignored; an empty table writes no archive."""
+    the archives hold, read back and validated. The dictionary is trained on up to DICT_ROWS payloads drawn by the hash of page_id. A payload of any length is one record. Nulls, ties and repeated rows: see plan_records(). Other columns are
+    ignored; an empty table writes no archive and gives no rows."""
     spark = pages.sparkSession
-    records = plan_records(pages)
     drawn = pages.where("html is not null").select(F.substring("html", 1, DICT_SLICE).alias("html"), F.xxhash64("page_id").alias("h")).orderBy("h").limit(DICT_ROWS).collect()
     folder = scratch(spark, "warc")
-    names = write_archives(records, folder, train_dictionary([r.html.encode() for r in drawn]))
-    return read_archives(spark, folder, names) if not names.isEmpty() else spark.createDataFrame([], "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary")
+    names = write_archives(plan_records(pages), folder, train_dictionary([r.html.encode() for r in drawn]))
+    return read_archives(spark, folder, names) if not names.isEmpty() else spark.createDataFrame([], READ)
