@@ -266,12 +266,23 @@ def read_archives(spark, folder: str, names: DataFrame, faults: bool = False) ->
 READ = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary"
 
 
+def draw_payloads(pages: DataFrame, most: int = DICT_ROWS) -> list[bytes]:
+    """The heads of at most `most` payloads, those of the least hash of page_id and payload. Only a share of rows near that bound is
+    sorted and leaves the executors."""
+    heads = pages.where("html is not null").select(F.substring(F.col("html").cast("string"), 1, DICT_SLICE).alias("html"), F.col("page_id").cast("bigint").alias("page_id"))
+    total = heads.count()
+    drawn = heads.select("html", F.xxhash64("page_id", "html").alias("h"))
+    if total > 2 * most:
+        drawn = drawn.where(F.pmod("h", F.lit(1 << 30)) < int((1 << 30) * 2 * most / total))
+    return [r.html.encode() for r in drawn.orderBy("h").limit(most).collect()]
+
+
 def archive_pages(pages: DataFrame) -> DataFrame:
     """Writes every row of pages (page_id, url, html) as a record of Zstandard archives in the shared folder, and returns what
-    the archives hold, read back and validated. The dictionary is trained on up to DICT_ROWS payloads drawn by the hash of page_id. A payload of any length is one record. Nulls, ties and repeated rows: see plan_records(). Other columns are
+    the archives hold, read back and validated. The dictionary is trained on up to DICT_ROWS payloads drawn by hash; see
+    draw_payloads(). A payload of any length is one record. Nulls, ties and repeated rows: see plan_records(). Other columns are
     ignored; an empty table writes no archive and gives no rows."""
     spark = pages.sparkSession
-    drawn = pages.where("html is not null").select(F.substring("html", 1, DICT_SLICE).alias("html"), F.xxhash64("page_id").alias("h")).orderBy("h").limit(DICT_ROWS).collect()
     folder = scratch(spark, "warc")
-    names = write_archives(plan_records(pages), folder, train_dictionary([r.html.encode() for r in drawn]))
+    names = write_archives(plan_records(pages), folder, train_dictionary(draw_payloads(pages)))
     return read_archives(spark, folder, names) if not names.isEmpty() else spark.createDataFrame([], READ)
