@@ -25,14 +25,17 @@ _PLAIN = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{
 
 
 def _window_sql(refs: str) -> str:
-    """CTEs up to pl: the places (doc_id, ref, k, n, st) where a shingle of a reference (ref, text) lines up with a document's."""
+    """CTEs up to rs: ws holds the shingles of every window (doc_id, ref, n, st) as long as a reference (ref, text) that has one of its
+    shingles anywhere (others have nothing in common), lined the windows where one stands at the reference's own place."""
     return f"""it AS (SELECT ref, {_PLAIN.format("text")} AS w FROM ({refs})),
 iw AS (SELECT ref, w, len(w) AS n, least(5, len(w)) AS k FROM it WHERE len(w) > 0),
 ish AS (SELECT ref, n, k, j, array_to_string(w[j + 1 : j + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS j FROM iw)),
 dw AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents),
 dsh AS (SELECT doc_id, nw, k, i, array_to_string(w[i + 1 : i + k], ' ') AS s
         FROM (SELECT doc_id, w, len(w) AS nw, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM dw, (SELECT DISTINCT k FROM iw))),
-pl AS (SELECT DISTINCT d.doc_id, r.ref, r.k, r.n, greatest(least(d.i - r.j, d.nw - r.n), 0) AS st FROM dsh d JOIN ish r ON d.s = r.s AND d.k = r.k),
+hit AS (SELECT DISTINCT d.doc_id, d.nw, d.i, r.ref, r.k, r.n, r.j FROM dsh d JOIN ish r ON d.s = r.s AND d.k = r.k),
+lined AS (SELECT DISTINCT doc_id, ref, greatest(least(i - j, nw - n), 0) AS st, true AS lined FROM hit),
+pl AS (SELECT DISTINCT doc_id, ref, k, n, unnest(range(greatest(i - n + k, 0), greatest(least(i, nw - n), 0) + 1)) AS st FROM hit),
 ws AS (SELECT p.doc_id, p.ref, p.n, p.st, d.s, count(*) AS c FROM pl p JOIN dsh d ON d.doc_id = p.doc_id AND d.k = p.k AND d.i BETWEEN p.st AND p.st + p.n - p.k GROUP BY ALL),
 rs AS (SELECT ref, s, count(*) AS c FROM ish GROUP BY ALL)"""
 
@@ -47,39 +50,48 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of each document, by classifiers that learn from its rows that are not held out; see predict_languages()."""
     return predict_languages(table(spark, sf_dir, "documents"))
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best place of each license in each document; see scan_licenses()."""
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and verdict of each document; see score_quality()."""
     return score_quality(table(spark, sf_dir, "documents"))
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives of all pages hold, read back, less url and payload; see archive_pages()."""
     return archive_pages(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shard and slot of each document under the law `bytes`; see assign_shards(). The other law's column is null."""
     return assign_shards(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of each document, learned from labels of rows that are not held out; see score_documents()."""
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best window of each document for each benchmark item that it holds a copy of; see contaminated()."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
 
 
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The digests of all conversations and of the control case, read back from the formatted text; see digest_chats()."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control_case(spark))
     return digest_chats(format_chats(turns))
 
 
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The component of each document, shingles of three words and a similarity of 0.85; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
@@ -111,24 +123,23 @@ stat AS (
   FROM base b LEFT JOIN cov c USING (doc_id) LEFT JOIN lines USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stat)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
-            OR 100 * n_dup_lines > 50 * n_lines) AS kept
+       NOT (base_failed OR 100 * n_symbols > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words            OR 100 * n_dup_lines > 50 * n_lines) AS kept
 FROM judged""",
     "op3_license_scan": f"""
 WITH {_window_sql("SELECT row_number() OVER () AS ref, text FROM (VALUES " + ", ".join(f"({_quoted(t)})" for _, t in TEMPLATES) + ") v(text)")},
 name AS (SELECT * FROM (VALUES {", ".join(f"({i + 1}, {_quoted(n)})" for i, (n, _) in enumerate(TEMPLATES))}) v(ref, license)),
 best AS (
-  SELECT ws.doc_id, license, ws.n, st, count(rs.s)::DOUBLE / (SELECT count(*) FROM rs x WHERE x.ref = ws.ref) AS containment
+  SELECT ws.doc_id, license, ws.ref, ws.n, st, count(rs.s)::DOUBLE / (SELECT count(*) FROM rs x WHERE x.ref = ws.ref) AS containment
   FROM ws LEFT JOIN rs ON rs.ref = ws.ref AND rs.s = ws.s JOIN name ON name.ref = ws.ref GROUP BY ws.doc_id, license, ws.ref, ws.n, st)
-SELECT doc_id, license, st::INT AS start_word, n::INT AS n_words, containment FROM best WHERE containment >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, st, n DESC) = 1""",
+SELECT doc_id, license, st::INT AS start_word, n::INT AS n_words, containment FROM best LEFT JOIN lined USING (doc_id, ref, st) WHERE containment >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, license ORDER BY containment DESC, coalesce(lined, false) DESC, st, n DESC) = 1""",
     "op8_decontamination": f"""
 WITH {_window_sql("SELECT item_id AS ref, text FROM benchmark")},
 size AS (SELECT doc_id, ref, st, sum(c) AS a FROM ws GROUP BY ALL),
 common AS (SELECT ws.doc_id, ws.ref, ws.st, sum(least(ws.c, rs.c)) AS c FROM ws JOIN rs ON rs.ref = ws.ref AND rs.s = ws.s GROUP BY ALL),
 sim AS (SELECT doc_id, ref, st, c::DOUBLE / (a + (SELECT sum(x.c) FROM rs x WHERE x.ref = common.ref) - c)::DOUBLE AS similarity FROM common JOIN size USING (doc_id, ref, st))
-SELECT doc_id, ref AS item_id, st::INT AS start_word, similarity FROM sim WHERE similarity >= 0.8
-QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY similarity DESC, st) = 1""",
+SELECT doc_id, ref AS item_id, st::INT AS start_word, similarity FROM sim LEFT JOIN lined USING (doc_id, ref, st) WHERE similarity >= 0.8
+QUALIFY row_number() OVER (PARTITION BY doc_id, ref ORDER BY similarity DESC, coalesce(lined, false) DESC, st) = 1""",
     "op5_warc": """
 WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
 g AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p)
