@@ -29,6 +29,10 @@ def n_symbols(text: Column, tokens: Column) -> Column:
     return F.length(F.regexp_replace(text, r"[^#*$%&|<>]+", "")).cast("bigint")
 
 
+def n_letters(text: Column, tokens: Column) -> Column:
+    return F.length(F.regexp_replace(text, r"\P{L}+", "")).cast("bigint")
+
+
 def _lines(text: Column) -> Column:
     return F.filter(F.split(text, "\n"), lambda line: F.rlike(line, F.lit(r"[^\x20\x09-\x0D]")))
 
@@ -104,7 +108,7 @@ class Rule:
 
 
 #: Each statistic of a text, by the text and its words, which all share.
-STATS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
+STATS = {"n_words": n_words, "word_chars": word_chars, "n_symbols": n_symbols, "n_letters": n_letters, "n_lines": n_lines, "n_dup_lines": n_dup_lines, "n_repeat_words": n_repeat_words}
 BASE_RULES = (
     Rule("few_words", lambda s: s("n_words") < 50),
     Rule("repeats", lambda s: 100 * s("n_repeat_words") > 50 * s("n_words")),
@@ -112,6 +116,7 @@ BASE_RULES = (
 RULES = (
     Rule("symbols", lambda s: 100 * s("n_symbols") > 50 * s("n_words")),
     Rule("word_length", lambda s: (s("word_chars") < 2 * s("n_words")) | (s("word_chars") > 20 * s("n_words"))),
+    Rule("few_letters", lambda s: 100 * s("n_letters") < 50 * s("word_chars")),
     Rule("dup_lines", lambda s: 100 * s("n_dup_lines") > 50 * s("n_lines")),
 )
 
@@ -174,7 +179,7 @@ def score_quality(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words: all counts are 0, base_failed is true. Very long texts are counted whole. Rows are
     independent, so repeated rows and repeated or null doc_ids are returned each; other columns are ignored; an empty table
-    gives none. What is not returned (lines) is counted only where neither the base nor an earlier rule rejects."""
+    gives none. What is not returned (lines, letters) is counted only where neither the base nor an earlier rule rejects."""
     ready = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
     rules = [r for r, _, _ in ordered(docs, RULES, ready)]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))

@@ -118,12 +118,14 @@ line AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM base),
 lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS d FROM line WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
 stat AS (
   SELECT b.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
-         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(d, 0)::BIGINT AS n_dup_lines,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+         length(regexp_replace(t, '\\P{{L}}', '', 'g'))::BIGINT AS n_letters, coalesce(d, 0)::BIGINT AS n_dup_lines,
          coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines
   FROM base b LEFT JOIN cov c USING (doc_id) LEFT JOIN lines USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM stat)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT (base_failed OR 100 * n_symbols > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words            OR 100 * n_dup_lines > 50 * n_lines) AS kept
+       NOT (base_failed OR 100 * n_symbols > 50 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words
+            OR 100 * n_letters < 50 * word_chars            OR 100 * n_dup_lines > 50 * n_lines) AS kept
 FROM judged""",
     "op3_license_scan": f"""
 WITH {_window_sql("SELECT row_number() OVER () AS ref, text FROM (VALUES " + ", ".join(f"({_quoted(t)})" for _, t in TEMPLATES) + ") v(text)")},
