@@ -2,55 +2,75 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..relation import Relation, settle
+from ..functions.scalar import angles
+from ..relation import Relation, checked, settle
 
-#: Ranges that a list is sorted in; ranges of one hot value are split again by key.
-RANGES, SUBRANGES = 48, 16
+#: The low bits of a place along a sorted table: the row within its range; the range's number is above them.
+ROW_BITS = 33
 
 
-def _below(value: Column, bounds: list) -> Column:
-    """How many of the ascending bounds are below value, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    table = F.lit([float(b) for b in bounds])
-    steps = [1 << i for i in reversed(range(len(bounds).bit_length()))]
-    return F.aggregate(F.lit(steps), F.lit(0), lambda low, s: F.when((low + s <= len(bounds)) & (F.get(table, low + s - 1) < value), low + s).otherwise(low))
+def along(df: DataFrame, order, name: str) -> DataFrame:
+    """df in the order of these columns, range by range, with name: a number that grows along it.
 
+    Ranges come from a sample of whole sort keys, so any type of key will do, rows of one hot value are parted by the keys behind it,
+    and no range is more than its share. Their number is spark.sql.shuffle.partitions, less what adaptive execution merges."""
+    return df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn(name, F.monotonically_increasing_id())
 
-def _cell(value: Column, key: Column, bounds: list, key_bounds: list) -> Column:
-    """A number that grows as value falls and, among rows that share a bound's value, as key grows."""
-    n = _below(value, bounds)
-    hit = F.coalesce(F.get(F.lit([float(b) for b in bounds]), n) == value, F.lit(False)) if bounds else F.lit(False)
-    place = (2 * (len(bounds) - n) - F.when(hit, 1).otherwise(0)) * (SUBRANGES + 1)
-    return place + F.when(hit, _below(key, key_bounds)).otherwise(0)
+
+def _range(at) -> Column:
+    return F.shiftright(F.col(at), ROW_BITS)
+
+
+def _row(at) -> Column:
+    return F.col(at).bitwiseAND(F.lit((1 << ROW_BITS) - 1))
+
+
+def starts(df: DataFrame, ats: list[str], part: str) -> list[DataFrame]:
+    """For each column of along(): (part, range, start), which added to a row's number in its range gives its place (from 0) within its
+    part. A row a range and part; the driver adds the counts up."""
+    each = F.array(*[F.struct(F.lit(m).alias("m"), _range(at).alias("range"), _row(at).alias("row")) for m, at in enumerate(ats)])
+    held = df.select(F.col(part).alias("part"), F.explode(each).alias("e")).groupBy("part", "e.m", "e.range").agg(F.min("e.row").alias("low"), F.count("*").alias("n"))
+    rows = sorted(map(tuple, held.collect()), key=lambda x: (x[1], x[0], x[2]))
+    out: list[list[tuple]] = [[] for _ in ats]
+    before, last = 0, None
+    for p, m, n_range, low, n in rows:
+        before = before if last == (m, p) else 0
+        out[m].append((p, n_range, before - low))
+        before, last = before + n, (m, p)
+    names = ("part", "range", "start")
+    kinds = (pa.int64(), pa.int64(), pa.int64())
+    tables = [pa.table({n: pa.array([x[i] for x in own], t) for i, (n, t) in enumerate(zip(names, kinds, strict=True))}) for own in out]
+    return [checked(df.sparkSession.createDataFrame(t), t.num_rows) for t in tables]
+
+
+def place(df: DataFrame, at: str, start: DataFrame, name: str, part: str) -> DataFrame:
+    """df with name: its place, by the table that starts() gives for the column at."""
+    own = start.select(F.col("part").alias("_part"), F.col("range").alias("_range"), "start")
+    same = (F.col(part) == F.col("_part")) & (_range(at) == F.col("_range"))
+    return df.join(own, same).withColumn(name, _row(at) + F.col("start")).drop("_part", "_range", "start")
+
+
+def placed(df: DataFrame, orders: dict[str, list], part: str = "part") -> DataFrame:
+    """df with a gapless place (from 0) within its part for each of the orders {name: columns}. A distributed sort an order; the rows,
+    sorted by the last, are written once."""
+    ats = {name: f"_at_{name}" for name in orders}
+    for name, order in orders.items():
+        df = along(df, [part, *order], ats[name])
+    df = settle(df)
+    for (name, at), start in zip(ats.items(), starts(df, list(ats.values()), part), strict=True):
+        df = place(df, at, start, name, part).drop(at)
+    return df
 
 
 def ranks(r: Relation, part: Column | None = None, prefix: str = "r") -> DataFrame:
     """r.df with r0.. added: a row's place (from 0) in the list of each attribute, largest first, keys breaking ties; with part,
-    within its partition (column `part`).
-
-    No list is sorted in one task: each is cut into ranges at sampled quantiles, rows of a hot value are cut by key, places
-    are counted within ranges and moved by the counts of the ranges before, a table of bounded size."""
+    within its partition (column `part`)."""
     df = r.df.withColumn("part", part.cast("int") if part is not None else F.lit(0))
-    wanted = [F.percentile_approx(a, F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(1000)).alias(a) for a in r.attrs]
-    key = F.col(r.keys[0]).cast("double")
-    edges = df.agg(*wanted, F.percentile_approx(key, F.lit([i / SUBRANGES for i in range(1, SUBRANGES)]), F.lit(1000)).alias("_key")).first()
-    key_bounds = sorted(set(edges["_key"] or []))
-    cells = [_cell(F.col(a), key, sorted(set(edges[a] or [])), key_bounds) for a in r.attrs]
-    df = df.withColumns({f"_c{m}": c for m, c in enumerate(cells)})
-    counts = df.select("part", F.posexplode(F.array(*[f"_c{m}" for m in range(len(r.attrs))])).alias("m", "cell")).groupBy("part", "m", "cell").agg(F.count("*").alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("part", "m").orderBy("cell")) - F.col("n"))
-    before = settle(before.select("part", "m", "cell", "before"))
-    for m, a in enumerate(r.attrs):
-        inside = Window.partitionBy("part", f"_c{m}").orderBy(F.desc(a), *r.keys)
-        df = df.withColumn("_n", F.row_number().over(inside))
-        own = before.where(F.col("m") == m).select("part", F.col("cell").alias(f"_c{m}"), "before")
-        df = df.join(F.broadcast(own), ["part", f"_c{m}"]).withColumn(f"{prefix}{m}", (F.col("before") + F.col("_n") - 1).cast("bigint")).drop("before", "_n")
-    return df.drop(*[f"_c{m}" for m in range(len(r.attrs))])
+    return placed(df, {f"{prefix}{m}": [F.desc(a), *r.keys] for m, a in enumerate(r.attrs)})
 
 
 def rank_columns(r: Relation) -> list[str]:
@@ -81,58 +101,56 @@ def position_order(r: Relation) -> DataFrame:
 def first_seen(r: Relation) -> DataFrame:
     """Rows with seq, their place when lists are read in turn, one row of all lists after the other."""
     names = rank_columns(r)
-    seen = positions(r)
     who = F.array_position(F.array(*names), F.col("minpos")) - 1
-    seen = seen.withColumn("first_list", who.cast("int"))
-    return _placed(Relation(settle(seen), r.keys, ("minpos",)), ("minpos", "first_list"), "seq")
+    seen = positions(r).withColumn("first_list", who.cast("int"))
+    return placed(seen, {"seq": ["minpos", "first_list", *r.keys]})
 
 
-def _placed(r: Relation, order, name: str, part: str = "part") -> DataFrame:
-    """r.df with a gapless place (from 0) in `order` (ascending, keys breaking ties) within each part, counted range by range."""
-    lead = F.col(order[0]).cast("double")
-    edges = r.df.agg(F.percentile_approx(lead, F.lit([i / RANGES for i in range(1, RANGES)]), F.lit(1000)).alias("e")).first().e
-    df = r.df.withColumn("_c", _below(lead, sorted(set(edges or []))))
-    counts = df.groupBy(part, "_c").agg(F.count("*").alias("n"))
-    before = settle(counts.withColumn("before", F.sum("n").over(Window.partitionBy(part).orderBy("_c")) - F.col("n")).drop("n"))
-    df = df.withColumn("_n", F.row_number().over(Window.partitionBy(part, "_c").orderBy(*order, *r.keys)))
-    return df.join(F.broadcast(before), [part, "_c"]).withColumn(name, (F.col("before") + F.col("_n") - 1).cast("bigint")).drop("_c", "_n", "before")
+def in_blocks(df: DataFrame, size: int, even: bool) -> DataFrame:
+    """Rows with seq (a place within its part) with block added, of at most `size` rows; even: blocks of a part differ by as little as
+    ceilings allow."""
+    if not even:
+        return df.withColumn("block", F.floor(F.col("seq") / size).cast("int"))
+    total = df.groupBy("part").agg(F.count("*").alias("_n"))
+    each = F.ceil(F.col("_n") / F.ceil(F.col("_n") / size))
+    return df.join(checked(total, total.count()), "part").withColumn("block", F.floor(F.col("seq") / each).cast("int")).drop("_n")
 
 
 def blocks(r: Relation, size: int, part: Column | None = None, even: bool = False) -> DataFrame:
-    """Rows with part, minpos, seq (place by minpos within the part) and block of at most `size` rows; even: blocks of a part
-    differ by as little as ceilings allow."""
-    placed = _placed(Relation(settle(positions(r, part)), r.keys, r.attrs), ("minpos",), "seq")
-    if not even:
-        return placed.withColumn("block", F.floor(F.col("seq") / size).cast("int"))
-    total = placed.groupBy("part").agg(F.count("*").alias("_n"))
-    each = F.ceil(F.col("_n") / F.ceil(F.col("_n") / size))
-    return placed.join(F.broadcast(total), "part").withColumn("block", F.floor(F.col("seq") / each).cast("int")).drop("_n")
+    """Rows with part, minpos, seq (place by minpos within the part) and block; see in_blocks()."""
+    return in_blocks(placed(positions(r, part), {"seq": ["minpos", *r.keys]}), size, even)
 
 
-def block_bounds(blocked: DataFrame, r: Relation) -> DataFrame:
-    """(part, block, n, t0..): the value in each list at the block's largest minpos. Any row of a later block has no larger value."""
-    edge = blocked.groupBy("part", "block").agg(F.count("*").alias("n"), F.max("minpos").alias("p"))
-    out = edge
-    for m, a in enumerate(r.attrs):
-        own = blocked.select("part", F.col(f"r{m}").alias("p"), F.col(a).alias(f"t{m}"))
-        out = out.join(own, ["part", "p"])
-    return out.select("part", "block", "n", *[f"t{m}" for m in range(len(r.attrs))])
+def block_bounds(blocked: DataFrame, r: Relation, *more: Column) -> DataFrame:
+    """(part, block, n, t0.., more): the value in each list at the block's largest minpos. Any row of a later block has no larger value."""
+    edge = settle(blocked.groupBy("part", "block").agg(F.count("*").alias("n"), F.max("minpos").alias("p"), *more))
+    each = F.array(*[F.struct(F.lit(m).alias("m"), F.col(f"r{m}").alias("p"), F.col(a).alias("v")) for m, a in enumerate(r.attrs)])
+    held = blocked.select("part", F.explode(each).alias("e")).select("part", "e.*").join(checked(edge.select("part", "p", "block"), edge.count()), ["part", "p"])
+    found = held.groupBy("part", "block").agg(*[F.max(F.when(F.col("m") == m, F.col("v"))).alias(f"t{m}") for m in range(len(r.attrs))])
+    return edge.drop("p").join(found, ["part", "block"])
 
 
 # Partitions.
 
 
+def _key_order(r: Relation) -> DataFrame:
+    return placed(r.df.withColumn("part", F.lit(0)), {"seq": list(r.keys)})
+
+
 def range_parts(r: Relation, parts: int) -> DataFrame:
     """Rows with part: contiguous ranges of near-equal rows in key order."""
-    keyed = r.df.withColumn("part", F.lit(0))
-    placed = _placed(Relation(keyed, r.keys, r.attrs), r.keys, "seq")
-    n = r.df.agg(F.count("*").alias("_n"))
-    return placed.crossJoin(F.broadcast(n)).withColumn("part", F.floor(F.col("seq") * parts / F.col("_n")).cast("int")).drop("_n", "seq")
+    rows = _key_order(r)
+    return rows.withColumn("part", F.floor(F.col("seq") * parts / F.lit(max(1, rows.count()))).cast("int")).drop("seq")
 
 
 def round_robin_parts(r: Relation, parts: int) -> DataFrame:
-    placed = _placed(Relation(r.df.withColumn("part", F.lit(0)), r.keys, r.attrs), r.keys, "seq")
-    return placed.withColumn("part", F.pmod("seq", F.lit(parts)).cast("int")).drop("seq")
+    """Rows with part: dealt in turn, in key order."""
+    return _key_order(r).withColumn("part", F.pmod("seq", F.lit(parts)).cast("int")).drop("seq")
+
+
+def dealt_parts(r: Relation, parts: int) -> DataFrame:
+    """Rows with part: dealt in turn as they are read, without a sort."""
+    return r.df.withColumn("part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int"))
 
 
 def tree_part(attrs) -> Column:
@@ -143,27 +161,25 @@ def tree_part(attrs) -> Column:
     return total
 
 
-def angle_parts(r: Relation, shift: float = 1.1) -> DataFrame:
-    """Rows with part: each hyperspherical angle (rounded, so that engines agree) is cut in halves by rank, least first; an odd
-    row more goes to the upper half."""
-    from ..functions.scalar import angles
-
+def _angle_ranks(r: Relation, shift: float) -> tuple[DataFrame, int]:
+    """Rows with _q0..: the place of each angle (rounded, so that engines agree), least first; and the rows."""
     names = [f"_phi{i}" for i in range(len(r.attrs) - 1)]
     df = r.df.withColumns({n: -F.round(c, 6) for n, c in zip(names, angles(r.attrs, shift), strict=True)})
-    placed = ranks(Relation(df, r.keys, tuple(names)), prefix="_q")
-    n = r.df.agg(F.count("*").alias("_n"))
-    placed = placed.crossJoin(F.broadcast(n))
-    half = F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
-    part = F.lit(0)
-    for i in range(len(names)):
+    found = ranks(Relation(df, r.keys, tuple(names)), prefix="_q")
+    return found, found.count()
+
+
+def angle_parts(r: Relation, shift: float = 1.1) -> DataFrame:
+    """Rows with part: each hyperspherical angle is cut in halves by rank, least first; an odd row more goes to the upper half."""
+    found, n = _angle_ranks(r, shift)
+    half, part = max(n // 2, 1), F.lit(0)
+    for i in range(len(r.attrs) - 1):
         part = part + F.least(F.floor(F.col(f"_q{i}") / half), F.lit(1)) * (1 << i)
-    return placed.withColumn("part", part.cast("int")).select(*r.df.columns, "part")
+    return found.withColumn("part", part.cast("int")).select(*r.df.columns, "part")
 
 
 def angle_grid(r: Relation, splits: int, shift: float = 1.1) -> DataFrame:
     """Rows with part: each angle in `splits` equal widths of 90 degrees, least significant first."""
-    from ..functions.scalar import angles
-
     part = F.lit(0)
     for i, c in enumerate(angles(r.attrs, shift)):
         part = part + F.greatest(F.least(F.floor(F.round(c, 6) * splits / 90.0), F.lit(splits - 1)), F.lit(0)) * splits**i
@@ -172,24 +188,20 @@ def angle_grid(r: Relation, splits: int, shift: float = 1.1) -> DataFrame:
 
 def angle_depths(r: Relation, splits: int, shift: float = 1.1) -> DataFrame:
     """Rows with part: each angle in `splits` ranges of near-equal rows."""
-    from ..functions.scalar import angles
-
-    names = [f"_phi{i}" for i in range(len(r.attrs) - 1)]
-    df = r.df.withColumns({n: -F.round(c, 6) for n, c in zip(names, angles(r.attrs, shift), strict=True)})
-    placed = ranks(Relation(df, r.keys, tuple(names)), prefix="_q").crossJoin(F.broadcast(r.df.agg(F.count("*").alias("_n"))))
+    found, n = _angle_ranks(r, shift)
     part = F.lit(0)
-    for i in range(len(names)):
-        part = part + F.floor(F.col(f"_q{i}") * splits / F.col("_n")) * splits**i
-    return placed.withColumn("part", part.cast("int")).select(*r.df.columns, "part")
+    for i in range(len(r.attrs) - 1):
+        part = part + F.floor(F.col(f"_q{i}") * splits / F.lit(max(1, n))) * splits**i
+    return found.withColumn("part", part.cast("int")).select(*r.df.columns, "part")
 
 
 def median_parts(r: Relation) -> DataFrame:
     """Rows with mask (bit m: attribute m above its upper median) and level (bits set)."""
-    n = r.df.count()
-    at = n // 2 + 1
     ranked = ranks(r)
+    n = ranked.count()
+    at = n // 2 + 1
     edge = ranked.agg(*[F.max(F.when(F.col(f"r{m}") == n - at, F.col(a))).alias(f"_m{m}") for m, a in enumerate(r.attrs)])
     mask = F.lit(0)
     for m, a in enumerate(r.attrs):
         mask = mask + F.when(F.col(a) > F.col(f"_m{m}"), 1 << m).otherwise(0)
-    return r.df.crossJoin(F.broadcast(edge)).withColumn("mask", mask).withColumn("level", F.bit_count("mask")).select(*r.df.columns, "mask", "level")
+    return r.df.crossJoin(F.broadcast(edge)).withColumn("mask", mask).withColumn("level", F.bit_count("mask")).select(*r.df.columns, "mask", "level")  # one row

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Iterator
 from functools import reduce
 
@@ -10,11 +11,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..relation import Relation, settle
+from ..relation import Relation, checked, settle
 from .ranking import median_parts
 
-#: Candidates up to which the last comparison is a broadcast.
+#: Candidates up to which the last comparison is a broadcast; above that, blocks of so many meet in pairs.
 LAST = 50_000
+#: Rows that a kernel compares with the confirmed ones at once, and bytes of one comparison.
+CHUNK, CELLS = 512, 1 << 22
+#: Rows of the best sums that every task starts from.
+PRUNERS = 64
 
 
 def dominates(a: str, b: str, attrs, largest: bool = True) -> Column:
@@ -25,76 +30,165 @@ def dominates(a: str, b: str, attrs, largest: bool = True) -> Column:
     return reduce(lambda p, q: p & q, [x >= y for x, y in pairs]) & reduce(lambda p, q: p | q, [x > y for x, y in pairs])
 
 
-def local_rows(values: np.ndarray) -> np.ndarray:
-    """Which rows (larger is better) no other row dominates, in order of their sums, against the confirmed ones only."""
-    order = np.lexsort((*values.T[::-1], -values.sum(1)))
-    kept: list[int] = []
+def beaten(values: np.ndarray, window: np.ndarray) -> np.ndarray:
+    """Which rows (larger is better) some row of window dominates. The window is read from its front, in pieces that double; rows that
+    are beaten drop out."""
+    out = np.zeros(len(values), bool)
+    left, at, piece = np.arange(len(values)), 0, 64
+    while at < len(window) and len(left):
+        piece = max(1, min(piece, CELLS // max(1, len(left))))
+        w, v = window[at : at + piece], values[left]
+        ge = np.ones((len(v), len(w)), bool)
+        gt = np.zeros((len(v), len(w)), bool)
+        for m in range(values.shape[1]):
+            a, b = w[None, :, m], v[:, None, m]
+            ge &= a >= b
+            gt |= a > b
+        hit = (ge & gt).any(1)
+        out[left[hit]] = True
+        left, at, piece = left[~hit], at + piece, piece * 2
+    return out
+
+
+def local_rows(values: np.ndarray, pruners: np.ndarray | None = None) -> np.ndarray:
+    """Which rows (larger is better) neither another row nor a pruner dominates. Rows come in the order of their sums, a block at a
+    time: against the confirmed ones, then against the block's own."""
+    order = np.argsort(-values.sum(1), kind="stable")
+    if pruners is not None and len(pruners):
+        order = order[~beaten(values[order], pruners)]
+    kept = np.empty(0, order.dtype)
     window = np.empty((0, values.shape[1]))
-    for i in order:
-        v = values[i]
-        if len(window) and ((window >= v).all(1) & (window > v).any(1)).any():
-            continue
-        if len(kept) == len(window):
-            window = np.concatenate((window, np.full((max(64, len(window)), values.shape[1]), -np.inf)))
-        window[len(kept)] = v
-        kept.append(i)
+    for at in range(0, len(order), CHUNK):
+        part = order[at : at + CHUNK]
+        part = part[~beaten(values[part], window)]
+        part = part[~beaten(values[part], values[part])]
+        kept = np.concatenate((kept, part))
+        window = np.concatenate((window, values[part]))
+    # Equal sums by rounding can hide a dominator that came later.
+    sums = values[kept].sum(1)
+    near = np.zeros(len(kept), bool)
+    if len(kept) > 1:
+        near[1:] = sums[:-1] - sums[1:] <= 1e-12 * np.abs(values[kept]).sum(1).max()
+        near[:-1] |= near[1:]
+    if near.any():
+        kept = np.concatenate((kept[~near], kept[near][~beaten(values[kept[near]], values[kept[near]])]))
     out = np.zeros(len(values), bool)
     out[kept] = True
-    # Equal sums by rounding can hide a dominator that came later.
-    if len(kept):
-        mine = values[kept]
-        for n, i in enumerate(kept):
-            if ((mine >= values[i]).all(1) & (mine > values[i]).any(1)).any():
-                out[kept[n]] = False
     return out
 
 
-def _local(names: list[str], attrs, sign: float):
+def _matrix(table, attrs, sign: float) -> np.ndarray:
+    return sign * np.column_stack([table.column(a).to_numpy() for a in attrs])
+
+
+def _local(names: list[str], attrs, sign: float, pruners: np.ndarray | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
-        for batch in batches:  # memory holds a batch and the skyline so far
-            table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
-            values = sign * np.column_stack([table.column(a).to_numpy() for a in attrs])
-            held = table.filter(pa.array(local_rows(values))) if len(values) else table
-        if held is not None:
-            yield from held.select(names).combine_chunks().to_batches()
+        held, rows = [], 0
+
+        def reduced():
+            table = pa.concat_tables(held)
+            return table.filter(pa.array(local_rows(_matrix(table, attrs, sign), pruners))) if table.num_rows else table
+
+        kept = 0
+        for batch in batches:  # memory holds the skyline so far and about as many rows more
+            own = pa.Table.from_batches([batch])
+            if own.num_rows:
+                values = _matrix(own, attrs, sign)
+                own = own.filter(pa.array(~beaten(values, pruners) if pruners is not None and len(pruners) else np.ones(len(values), bool)))
+            held.append(own)
+            rows += own.num_rows
+            if rows > max(1 << 15, 2 * kept):
+                held = [reduced()]
+                rows = kept = held[0].num_rows
+        if held:
+            yield from reduced().select(names).combine_chunks().to_batches()
+
+    return run
+
+
+def _pair(attrs, sign: float):
+    """applyInArrow of two cogroups: the rows of the first that a row of the second dominates."""
+
+    def run(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return left.select(["_id"]).slice(0, 0)
+        window = _matrix(right, attrs, sign)
+        window = window[np.argsort(-window.sum(1))]
+        return left.select(["_id"]).filter(pa.array(beaten(_matrix(left, attrs, sign), window)))
 
     return run
 
 
-def skyline(r: Relation, largest: bool = True) -> DataFrame:
-    """Rows that no other row dominates: each task's own skyline, in ever fewer tasks until few candidates are left, then a
-    comparison among those."""
-    names = [*r.keys, *[a for a in r.attrs if a not in r.keys]]
+def _among(found: DataFrame, n: int, attrs, sign: float) -> DataFrame:
+    """Rows of found that no other row of it dominates. The rows are dealt to blocks and every pair of blocks is a task, so that none
+    holds more than two blocks whatever their number."""
+    blocks = -(-n // LAST)
+    rows = settle(found.withColumn("_id", F.monotonically_increasing_id()).withColumn("_block", F.pmod(F.xxhash64("_id"), F.lit(blocks)).cast("int")))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    left = rows.select("_id", *attrs, F.col("_block").alias("_i"), other.alias("_j"))
+    right = rows.select(*attrs, F.col("_block").alias("_j"), other.alias("_i"))
+    lost = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInArrow(_pair(attrs, sign), "_id bigint")
+    lost = settle(lost.distinct())
+    return rows.join(checked(lost, lost.count()), "_id", "left_anti").drop("_id", "_block")
+
+
+def pruning_rows(r: Relation, n: int = PRUNERS, largest: bool = True) -> DataFrame:
+    """The n rows of the best sums."""
+    total = reduce(lambda a, b: a + b, [F.col(a) for a in r.attrs])
+    return r.df.withColumn("_sum", total).orderBy(F.desc("_sum") if largest else F.asc("_sum"), *r.keys).limit(n).drop("_sum")
+
+
+def skyline(r: Relation, largest: bool = True, phases: list | None = None) -> DataFrame:
+    """Rows that no other row dominates: rows that some of the best sums dominate go first, each task finds its own skyline, then tasks
+    are merged as long as that helps, and the candidates left are compared, by broadcast or block by block.
+
+    phases, if given, takes (phase, seconds, rows left) of each."""
+    names, sign = r.columns(), 1.0 if largest else -1.0
     rows = r.df.select(*names)
-    kernel = _local(names, r.attrs, 1.0 if largest else -1.0)
-    found = settle(rows.mapInArrow(kernel, rows.schema))
-    n, tasks = found.count(), 64
-    while n > LAST and tasks > 1:
-        tasks //= 4
-        found = settle(found.repartition(tasks).mapInArrow(kernel, rows.schema))
+    began = time.perf_counter()
+
+    def done(phase: str, n: int) -> None:
+        nonlocal began
+        if phases is not None:
+            phases.append((phase, time.perf_counter() - began, n))
+        began = time.perf_counter()
+
+    best = pruning_rows(r, largest=largest).select(*r.attrs).toArrow()
+    pruners = _matrix(best, r.attrs, sign) if best.num_rows else None
+    done("prefilter", best.num_rows)
+    found = settle(rows.mapInArrow(_local(names, r.attrs, sign, pruners), rows.schema))
+    n, before, tasks = found.count(), None, 64
+    done("local", n)
+    while n > LAST and tasks > 4 and (before is None or n < 0.8 * before):
+        before, tasks = n, tasks // 2
+        found = settle(found.repartition(tasks).mapInArrow(_local(names, r.attrs, sign), rows.schema))
         n = found.count()
+        done("merge", n)
     if n > LAST:
-        return found  # of one task: final
+        found = settle(_among(found, n, r.attrs, sign))
+        done("pairs", n)
+        return found
     return found.alias("b").join(F.broadcast(found.alias("a")), dominates("a", "b", r.attrs, largest), "left_anti")
 
 
 def prefilter(r: Relation, pruners: int = 8, largest: bool = True) -> DataFrame:
     """Rows that none of the rows of the best sums dominates: a superset of the skyline, by a constant-size broadcast."""
-    total = reduce(lambda a, b: a + b, [F.col(a) for a in r.attrs])
-    order = F.desc("_sum") if largest else F.asc("_sum")
-    best = r.df.withColumn("_sum", total).orderBy(order, *r.keys).limit(pruners).drop("_sum")
+    best = pruning_rows(r, pruners, largest)
     return r.df.alias("b").join(F.broadcast(best.alias("a")), dominates("a", "b", r.attrs, largest), "left_anti")
 
 
 def dominance_pairs(r: Relation, masked: bool = False) -> DataFrame:
-    """(better, worse) by key. masked: bits of the median partition rule pairs out before attributes are compared: a dominator has
-    every bit that the dominated row has."""
-    rows = r.using(median_parts(r)).df if masked else r.df
+    """(better, worse) by key. masked: rows meet only where the bits of the median partition allow it (a dominator has every bit that
+    the dominated row has), by a join on the masks that are compatible, of which there are 3^d at most."""
     test = dominates("a", "b", r.attrs)
-    if masked:
-        test = (F.col("a.mask").bitwiseAND(F.col("b.mask")) == F.col("b.mask")) & (F.col("a.level") >= F.col("b.level")) & test
-    return rows.alias("a").join(rows.alias("b"), test).select(F.col(f"a.{r.keys[0]}").alias("better"), F.col(f"b.{r.keys[0]}").alias("worse"))
+    out = [F.col(f"a.{r.keys[0]}").alias("better"), F.col(f"b.{r.keys[0]}").alias("worse")]
+    if not masked:
+        return r.df.alias("a").join(r.df.alias("b"), test).select(*out)
+    rows = settle(median_parts(r))
+    held = rows.select("mask").distinct()
+    fits = held.select(F.col("mask").alias("over")).crossJoin(F.broadcast(held.select(F.col("mask").alias("under")))).where("(over & under) = under")  # masks only
+    above = rows.join(F.broadcast(fits), F.col("mask") == F.col("over"))
+    return above.alias("a").join(rows.alias("b"), (F.col("a.under") == F.col("b.mask")) & test).select(*out)
 
 
 def dominance_class(r: Relation, pivot: dict) -> DataFrame:
@@ -118,3 +212,12 @@ def layers(r: Relation, most: int | None = None) -> DataFrame:
         left = settle(left.join(top, list(r.keys), "left_anti"))
         n += 1
     return reduce(DataFrame.unionByName, out) if out else r.df.withColumn("layer", F.lit(0))
+
+
+def dominance_tests(r: Relation, largest: bool = True) -> DataFrame:
+    """(phase, rows, tests): the rows that each phase of the skyline leaves, and the comparisons that finding them among themselves
+    takes at most."""
+    phases: list = []
+    final = skyline(r, largest, phases).count()
+    rows = [(name, n, n * max(0, n - 1)) for name, _, n in phases] + [("skyline", final, final * max(0, final - 1))]
+    return r.df.sparkSession.createDataFrame(rows, "phase string, rows bigint, tests bigint")

@@ -10,7 +10,7 @@ from .operators import preparation as prep
 from .operators import ranking, skyline, topk
 from .operators.topk import TopKQuery
 from .plans import block_index
-from .relation import Relation
+from .relation import Relation, scratch
 from .sources import files, generators, views
 
 QUERIES: dict = {}
@@ -147,20 +147,53 @@ def prune_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 TA = TopKQuery(8, ("a0", "a1", "a2"), (0.5, 0.25, 1.0))
+TA2 = TopKQuery(8, ("a0", "a2"), (1.0, 1.0))
 
 
-@query(
-    "ta_access_count",
-    f"""WITH {_emn(3)}, {_ranks('en', 'tid', 3)}, s AS (SELECT *, {_score(TA.attrs, TA.weights)} AS score FROM rk),
-t AS (SELECT x.r0 AS depth, x.a0 * 0.5::DOUBLE + y.a1 * 0.25::DOUBLE + z.a2 * 1.0::DOUBLE AS bar FROM rk x JOIN rk y ON y.r1 = x.r0 JOIN rk z ON z.r2 = x.r0),
-ok AS (SELECT min(depth) AS depth FROM t WHERE (SELECT count(*) FROM s WHERE minpos <= t.depth AND score >= t.bar) >= 8)
-SELECT depth, (SELECT count(*) FROM s WHERE minpos <= ok.depth) AS accesses FROM ok""",
-)
+def _ta_ctes(q: TopKQuery, lists, name: str) -> str:
+    """CTEs to {name}_ok (depth) and {name}_s (mp): sorted access over q's lists of rk, until q's k-th score reaches the sum over `lists`."""
+    weight = dict(zip(q.attrs, q.weights, strict=True))
+    own = ", ".join("r" + a[1:] for a in q.attrs)
+    first, *rest = lists
+    bar = " + ".join(f"x{a}.{a} * {weight.get(a, 1.0)!r}::DOUBLE" for a in lists)
+    joins = " ".join(f"JOIN rk x{a} ON x{a}.r{a[1:]} = x{first}.r{first[1:]}" for a in rest)
+    return f"""{name}_s AS (SELECT least({own}) AS mp, {_score(q.attrs, q.weights)} AS score FROM rk),
+{name}_t AS (SELECT x{first}.r{first[1:]} AS depth, {bar} AS bar FROM rk x{first} {joins}),
+{name}_ok AS (SELECT min(depth) AS depth FROM {name}_t WHERE (SELECT count(*) FROM {name}_s WHERE mp <= {name}_t.depth AND score >= {name}_t.bar) >= {q.k})"""
+
+
+def _ta_seen(name: str) -> str:
+    return f"SELECT depth, (SELECT count(*) FROM {name}_s WHERE mp <= {name}_ok.depth) AS accesses FROM {name}_ok"
+
+
+@query("ta_access_count", f"WITH {_emn(3)}, {_ranks('en', 'tid', 3)}, {_ta_ctes(TA, TA.attrs, 'ta')} {_ta_seen('ta')}")
 def ta_access_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = topk.threshold_depth(_em(spark, sf_dir, 3), TA)
     return spark.createDataFrame([(found.depth, found.evaluated)], "depth bigint, accesses bigint")
 
 
+@query("ta2_access_count", f"WITH {_emn(3)}, {_ranks('en', 'tid', 3)}, {_ta_ctes(TA2, ('a0', 'a1', 'a2'), 'ta')} {_ta_seen('ta')}")
+def ta2_access_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variant that adds the values of all lists up for its threshold, and so stops later."""
+    found = topk.threshold_depth(_em(spark, sf_dir, 3), TA2, lists=("a0", "a1", "a2"))
+    return spark.createDataFrame([(found.depth, found.evaluated)], "depth bigint, accesses bigint")
+
+
+_PAIRS3 = [topk.TopKQuery(8, c, (1.0, 1.0)) for c in (("a0", "a1"), ("a0", "a2"), ("a1", "a2"))]
+
+
+@query(
+    "subspace_accesses",
+    f"WITH {_emn(3)}, {_ranks('en', 'tid', 3)}, "
+    + ", ".join(_ta_ctes(q, q.attrs, f"s{i}") for i, q in enumerate(_PAIRS3))
+    + " SELECT count(*) AS subspaces, avg(accesses) AS mean, min(accesses) AS least FROM ("
+    + " UNION ALL ".join(_ta_seen(f"s{i}") for i in range(3))
+    + ")",
+)
+def subspace_accesses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.subspace_accesses(_em(spark, sf_dir, 3), 8, 2)
+
+
 @query(
     "cfa_candidates",
     f"""WITH {_emn(3)}, {_ranks('en', 'tid', 3)}, d AS (SELECT max(maxpos) AS depth FROM (SELECT maxpos FROM rk ORDER BY maxpos LIMIT 8))
@@ -180,19 +213,45 @@ def _batch_sql(queries: dict[int, TopKQuery], ctes: str = LN, source: str = "li"
 
 
 _A = ("a0", "a1", "a2", "a3")
+# The weight vectors of the queries.
 _W = {0: (1.0, 1.0, 1.0, 1.0), 1: (0.1, 0.2, 0.3, 0.4), 2: (0.4, 0.3, 0.2, 0.1), 3: (0.1, 0.2, 0.4, 0.8), 4: (0.8, 0.4, 0.2, 0.1)}
 MULTI = {5 * i + j: TopKQuery(8, _A[-q:], _W[j][-q:]) for i, q in enumerate((2, 3, 4)) for j in _W}
 SUBSPACES = topk.all_subspaces(_A, 8)
 SWEEP = topk.nested_sweep(_A, (16, 32))
 
-for _name, _queries in [("topk_multi_query", MULTI), ("topk_all_subspaces", SUBSPACES), ("topk_sweep", SWEEP)]:
+PREFIXES = topk.nested_sweep(_A, (16, 32), prefix=True)
+
+for _name, _queries in [("topk_multi_query", MULTI), ("topk_all_subspaces", SUBSPACES), ("topk_sweep", SWEEP), ("topk_sweep_prefix", PREFIXES)]:
     query(_name, _batch_sql(_queries))(lambda spark, sf_dir, queries=_queries: topk.batch(_li(spark, sf_dir), queries))
 
 
+#: Workloads of many queries: over a random number of attributes, and over three.
+WORK = topk.workload(_A, 64, 8)
+WORK_FIXED = topk.workload(_A, 16, 8, 3, (0.1, 0.2, 0.3, 0.4))
+
+
+def _workload_sql(queries: dict[int, TopKQuery]) -> str:
+    own, of = topk.distinct_queries(queries)
+    asked = ", ".join(f"({i}, {j})" for i, j in of.items())
+    return f"WITH {LN}, b AS ({_batch_sql(own).split(LN, 1)[1].strip()}), w(asked, own) AS (VALUES {asked}) SELECT asked AS qid, rank, {KEYS}, score FROM b JOIN w ON b.qid = own"
+
+
+for _name, _queries in [("topk_workload", WORK), ("topk_workload_fixed", WORK_FIXED)]:
+    query(_name, _workload_sql(_queries))(lambda spark, sf_dir, queries=_queries: topk.batch(_li(spark, sf_dir), queries))
+
+
+@query("topk_index_batch", _batch_sql(MULTI))
+def topk_index_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A batch on an index that was written and read back, as another session would."""
+    r, path = _li(spark, sf_dir), scratch(spark, "index")
+    block_index.build(r, 1024).write(path)
+    return block_index.topk_batch(block_index.BlockIndex.read(spark, path, r.keys, r.attrs, 1024), MULTI)
+
+
 @query("topk_partitioned_merge", _top_sql(WIDE))
 def topk_partitioned_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _li(spark, sf_dir)
-    return topk.partitioned(r, WIDE, ranking.round_robin_parts(r, 16))
+    return topk.partitioned(r, WIDE, ranking.dealt_parts(r, 16))
 
 
 @query("topk_by_group", "SELECT label, rank, vec_id, score FROM (SELECT label, vec_id, embedding[1]::DOUBLE + embedding[2]::DOUBLE AS score, row_number() OVER (PARTITION BY label ORDER BY embedding[1]::DOUBLE + embedding[2]::DOUBLE DESC, vec_id) AS rank FROM embeddings) WHERE rank <= 3")
@@ -230,6 +289,7 @@ def score_running_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("score_sum_all", f"WITH {_emb(8)} SELECT tid, {_score([f'a{m}' for m in range(8)])} AS score FROM em")
 def score_sum_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All attributes of the view of eight that embeddings are read as (views.vectors)."""
     r = views.vectors(spark, sf_dir)
     return r.df.select("tid", scalar.score(r.attrs).alias("score"))
 
@@ -292,6 +352,19 @@ def shape_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.shape(views.table(spark, sf_dir, "lineitem"))
 
 
+@query("shape_infer_file", "SELECT count(*) AS n, 4::BIGINT AS d FROM lineitem")
+def shape_infer_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shape of a delimited file, from the file alone."""
+    r, path = views.line_items(spark, sf_dir), scratch(spark, "lines")
+    files.write_relation(r.df, path, r.attrs)
+    return spark.createDataFrame([files.infer_shape(spark, path)], "n bigint, d bigint")
+
+
+@query("dequantize_scale", f"WITH {LN} SELECT {KEYS}, " + ", ".join(f"round(a{m} * {float(1 << 30)!r}::DOUBLE)::BIGINT::DOUBLE / {float(1 << 30)!r}::DOUBLE AS a{m}" for m in range(4)) + " FROM li")
+def dequantize_scale(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.unquantized(files.quantized(_li(spark, sf_dir).df, _A), _A)
+
+
 @query("sample_head", f"WITH {LI} SELECT * FROM lr ORDER BY {KEYS} LIMIT 10")
 def sample_head(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = views.line_items(spark, sf_dir)
@@ -330,6 +403,15 @@ def count_window_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.window_pivot(prep.only(views.readings(spark, sf_dir), "event_type", ("view", "click")), "key", ["ts", "event_id"], "value", 4)
 
 
+@query(
+    "count_window_pivot_range",
+    """WITH n AS (SELECT user_id AS key, value / 100.0::DOUBLE AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS p FROM events WHERE value / 100.0::DOUBLE >= 0 AND value / 100.0::DOUBLE < 1)
+SELECT key, p // 2 AS g, max(value) FILTER (p % 2 = 0) AS a0, max(value) FILTER (p % 2 = 1) AS a1 FROM n GROUP BY 1, 2 HAVING count(*) = 2""",
+)
+def count_window_pivot_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prep.window_pivot(prep.within(views.readings(spark, sf_dir), "value", 0.0, 1.0, 100.0), "key", ["ts", "event_id"], "value", 2)
+
+
 @query(
     "spearman_pairs",
     f"""WITH {LI}, q AS (SELECT {", ".join(f"rank() OVER (ORDER BY a{m}) + (count(*) OVER (PARTITION BY a{m}) - 1) / 2.0 AS q{m}" for m in range(4))} FROM lr)
@@ -344,7 +426,9 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def parse_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The line names of the run log.
     lines = ["tt_init: 12.5", "tt_procesing: 3.25", "tuple_count: 4096", "tuples_per_second: 1.5e6", "threshold=[1.2]"]
-    return files.run_metrics(spark.createDataFrame([(x,) for x in lines], "value string"))
+    path = scratch(spark, "log")
+    spark.createDataFrame([(x,) for x in lines], "value string").write.text(path)
+    return files.read_metrics(spark, path)
 
 
 # Ranking structures.
@@ -503,25 +587,37 @@ def result_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.missing(topk.scan(r, WIDE), topk.scan(r, EVEN), r.keys)
 
 
+_TOPS = f"x AS (SELECT {KEYS} FROM li ORDER BY {_score(WIDE.attrs, WIDE.weights)} DESC, {KEYS} LIMIT 16), y AS (SELECT {KEYS} FROM li ORDER BY {_score(_A)} DESC, {KEYS} LIMIT 16)"
+
+
+@query("result_differences", f"WITH {LN}, {_TOPS} SELECT 'a' AS side, * FROM (SELECT * FROM x EXCEPT ALL SELECT * FROM y) UNION ALL SELECT 'b' AS side, * FROM (SELECT * FROM y EXCEPT ALL SELECT * FROM x)")
+def result_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    r = _li(spark, sf_dir)
+    return prep.differences(topk.scan(r, WIDE), topk.scan(r, EVEN), r.keys)
+
+
 @query("threshold_compare", f"SELECT min(score) AS a, min(score) AS b, true AS same FROM ({_top_sql(WIDE)})")
 def threshold_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = _li(spark, sf_dir)
     return prep.same_threshold(topk.scan(r, WIDE), topk.two_stage(r, WIDE))
 
 
-@query(
-    "eval_count",
-    f"""WITH {LN}, {_ranks('li', KEYS, 4)}, o AS (SELECT *, row_number() OVER (ORDER BY minpos, {KEYS}) - 1 AS seq, count(*) OVER () AS n FROM rk),
+_EVAL = f"""{LN}, {_ranks('li', KEYS, 4)}, o AS (SELECT *, row_number() OVER (ORDER BY minpos, {KEYS}) - 1 AS seq, count(*) OVER () AS n FROM rk),
 bl AS (SELECT *, floor(seq / ceil(n / ceil(n / 1024.0)))::INT AS block, {_score(WIDE.attrs, WIDE.weights)} AS score FROM o),
 t AS (SELECT min(score) AS t FROM (SELECT score FROM bl WHERE block < 1 ORDER BY score DESC LIMIT 16)),
 be AS (SELECT block, count(*) AS n, max(minpos) AS p FROM bl GROUP BY 1),
-u AS (SELECT be.block + 1 AS block, x.a0 * 0.5::DOUBLE + y.a1 * 0.25::DOUBLE + z.a2 * 1.0::DOUBLE AS u FROM be JOIN bl x ON x.r0 = p JOIN bl y ON y.r1 = p JOIN bl z ON z.r2 = p)
-SELECT count(*) AS blocks, sum(be.n)::BIGINT AS evaluated FROM be LEFT JOIN u USING (block), t WHERE be.block < 1 OR u.u >= t.t""",
-)
+u AS (SELECT be.block + 1 AS block, x.a0 * 0.5::DOUBLE + y.a1 * 0.25::DOUBLE + z.a2 * 1.0::DOUBLE AS u FROM be JOIN bl x ON x.r0 = p JOIN bl y ON y.r1 = p JOIN bl z ON z.r2 = p)"""
+_KEPT = "FROM be LEFT JOIN u USING (block), t WHERE be.block < 1 OR u.u >= t.t"
+
+
+@query("eval_count", f"WITH {_EVAL} SELECT count(*) AS blocks, sum(be.n)::BIGINT AS evaluated {_KEPT}")
 def eval_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = block_index.build(_li(spark, sf_dir), 1024)
-    kept = block_index.survivors(index, WIDE)
-    return kept.join(index.bounds, ["part", "block"]).agg(F.count("*").alias("blocks"), F.sum("n").cast("bigint").alias("evaluated"))
+    return block_index.survivors(block_index.build(_li(spark, sf_dir), 1024), WIDE).agg(F.count("*").alias("blocks"), F.sum("n").cast("bigint").alias("evaluated"))
+
+
+@query("index_report", f"WITH {_EVAL} SELECT count(*) AS blocks, sum(be.n)::BIGINT AS evaluated, (SELECT count(*) FROM li) AS rows, (SELECT min(score) FROM (SELECT score FROM bl ORDER BY score DESC LIMIT 16)) AS threshold {_KEPT}")
+def index_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return block_index.report(block_index.build(_li(spark, sf_dir), 1024), WIDE)
 
 
 # Generators.

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a narrow side of a join is broadcast.
@@ -31,17 +31,31 @@ class Relation:
     def using(self, df: DataFrame) -> Relation:
         return replace(self, df=df)
 
+    def columns(self) -> list[str]:
+        """Keys, then the attributes that are not keys."""
+        return [*self.keys, *[a for a in self.attrs if a not in self.keys]]
 
-def settle(df: DataFrame) -> DataFrame:
-    """df written to and read back from the shared folder (spark.checkpoint.dir, or a local one where that is unset)."""
-    spark = df.sparkSession
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, a new local one, with a local master only."""
     folder = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="apexrank-")
         spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder}/table-{uuid.uuid4().hex}"
+    return folder
+
+
+def scratch(spark: SparkSession, what: str = "table") -> str:
+    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """df written to and read back from the shared folder."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checked(df: DataFrame, rows: int, most: int = BROADCAST_ROWS) -> DataFrame:

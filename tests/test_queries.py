@@ -1,5 +1,7 @@
 """Every query that has SQL against that SQL, on the smallest tables."""
 
+from collections import Counter
+
 import duckdb
 import pytest
 
@@ -7,7 +9,7 @@ from apexrank.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events embeddings".split()
-#: Line items have one duplicate key here, so results that depend on places of equal rows may differ.
+#: Line items have one duplicate key here, so places of its two rows may differ: for these, rows are compared by all but the places.
 TIED = {"position_matrix", "min_position", "first_seen_reorder", "block_assign", "range_partition", "rr_partition"}
 
 
@@ -32,7 +34,11 @@ def test_query_equals_its_sql(spark, db, name):
     assert sorted(names) == sorted(frame.columns)
     mine, theirs = rows(frame.columns, frame.collect()), rows(names, ran.fetchall())
     if name in TIED:
-        assert len(mine) == len(theirs)
+        keys = [i for i, c in enumerate(sorted(names)) if c in ("k0", "k1", "k2", "k3", "k4")]
+        twice = {k for k, n in Counter(tuple(r[i] for i in keys) for r in theirs).items() if n > 1}
+        once = lambda rows: [r for r in rows if tuple(r[i] for i in keys) not in twice]
+        assert len(twice) <= 1 and len(mine) == len(theirs)
+        assert once(mine) == once(theirs)
     else:
         assert mine == theirs
 
