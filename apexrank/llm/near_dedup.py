@@ -54,15 +54,26 @@ def band_keys(sketches: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _sums(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit sums over a set. Equal sets have equal sums, unequal ones differ in one of them but for a chance of 2**-128."""
+    if not len(s):
+        return 0, 0
+    return int(kernels.mix(s + U(1)).sum(dtype=U).view(np.int64)), int(kernels.mix(s * U(3)).sum(dtype=U).view(np.int64))
+
+
+def _shingled(k: int, column: pa.Array):
+    """Yields (first row, the shingle sets of so many rows)."""
+    for row, hashes, starts in kernels.text_words(column):
+        yield row, [kernels.shingle_set(hashes[a:b], k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
 def _signatures(k: int, bands: int, rows: int):
-    """mapInArrow: (doc_id, text) to (doc_id, n_shingles, sum_a, sum_b, band keys). Equal sets have equal sums, and unequal
-    ones differ in one of two 64-bit sums but for a chance of 2**-128."""
+    """mapInArrow: (doc_id, text) to (doc_id, n_shingles, sum_a, sum_b, band keys)."""
 
     def run(batches):
         for batch in batches:
-            for row, hashes, starts in kernels.text_words(batch.column("text")):
-                sets = [kernels.shingle_set(hashes[a:b], k) for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                sums = [[int(f(s).sum(dtype=U).view(np.int64)) for f in (lambda s: kernels.mix(s + U(1)), lambda s: kernels.mix(s * U(3)))] if len(s) else [0, 0] for s in sets]
+            for row, sets in _shingled(k, batch.column("text")):
+                sums = [_sums(s) for s in sets]
                 keys = band_keys(sketch(sets, bands * rows), bands, rows)
                 full = [keys[i] if len(s) else [] for i, s in enumerate(sets)]
                 yield pa.RecordBatch.from_arrays(
@@ -80,13 +91,21 @@ def _signatures(k: int, bands: int, rows: int):
 
 
 def _sets(k: int):
-    """mapInArrow: (doc_id, text) to (doc_id, sorted shingle hashes as bytes)."""
+    """mapInArrow: (text) to (n_shingles, sum_a, sum_b, sorted shingle hashes as bytes)."""
 
     def run(batches):
         for batch in batches:
-            for row, hashes, starts in kernels.text_words(batch.column("text")):
-                sets = [kernels.shingle_set(hashes[a:b], k).tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(row, len(sets)), pa.array(sets, pa.binary())], names=["id", "body"])
+            for _, sets in _shingled(k, batch.column("text")):
+                sums = [_sums(s) for s in sets]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([x[0] for x in sums], pa.int64()),
+                        pa.array([x[1] for x in sums], pa.int64()),
+                        pa.array([s.tobytes() for s in sets], pa.binary()),
+                    ],
+                    names=["n_shingles", "sum_a", "sum_b", "body"],
+                )
 
     return run
 
@@ -137,55 +156,83 @@ def _rare_pairs(body: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), F.when(low, F.col("n")).otherwise(F.col("no")).alias("na"), F.when(low, F.col("no")).otherwise(F.col("n")).alias("nb"))
 
 
+CLASS = ["n_shingles", "sum_a", "sum_b"]
+
+
+def _same_document(signed: DataFrame, classes: DataFrame) -> DataFrame | None:
+    """Links (a, b) between the classes of rows that share a doc_id, or None where no doc_id has two."""
+    named = signed.where("doc_id is not null and n_shingles > 0").select("doc_id", *CLASS)
+    unlike = named.groupBy("doc_id").agg(*[f(c).alias(f"{f.__name__}_{c}") for c in CLASS for f in (F.min, F.max)])
+    unlike = settle(unlike.where(" or ".join(f"min_{c} < max_{c}" for c in CLASS)).select("doc_id"), "repeated")
+    if unlike.isEmpty():
+        return None
+    own = named.join(checked(unlike, unlike.count()), "doc_id", "left_semi").distinct().join(classes.select(*CLASS, "id"), CLASS)
+    own = settle(own.select("doc_id", "id"), "repeated")
+    least = own.groupBy("doc_id").agg(F.min("id").alias("a"))
+    return settle(own.join(least, "doc_id").where("id <> a").select("a", F.col("id").alias("b")), "same")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
     Documents are linked if 100 * intersection >= percent * union of their sets of distinct runs of k words (A-Z lower-cased,
     fewer words: the whole sequence); component_id is the least doc_id that links reach. Null and empty texts have no shingle
-    and no link. Rows with one doc_id count as one document; rows whose doc_id is null are returned with null component and
-    kept true. Other columns are ignored. An empty table gives an empty result.
-
-    Copies with equal sets are folded into their least doc_id first. A bucket of a band, which may be very large, never meets
-    itself: its least member is verified against all. Members of buckets that are then of more than one component are compared
-    by the rarest of their shingles: two sets of the wanted similarity share one among their first n - ceil(percent * n / 100) + 1
-    in an order common to all, rarest first, and the places of the first one that they share bound what they can have in common.
-    So pairs are spared only where documents are already connected or can't be linked, and a large component never meets itself.
+    and no link. Very long texts are hashed slab by slab, whole. Rows with one doc_id count as one document: what is linked
+    to one of their texts is linked to the others too. Rows whose doc_id is null link nothing and are returned with null component
+    and kept true. Other columns are ignored. An empty table gives an empty result.
+
+    Texts with equal sets are folded into one class first. A bucket of a band, which may be very large, never meets itself: its least
+    member is verified against all of it. Members of buckets that are then of more than one component are compared by the rarest of
+    their shingles: two sets of the wanted similarity share one among their first n - ceil(percent * n / 100) + 1 in an order
+    common to all, rarest first, and the places of the first one that they share bound what they can have in common. So pairs
+    are spared only where documents are already connected or can't be linked, and a large component never meets itself.
     """
     bands, rows = band_shape(percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     signed = settle(texts.mapInArrow(_signatures(k, bands, rows), "doc_id bigint, n_shingles bigint, sum_a bigint, sum_b bigint, keys array<bigint>"), "signed")
     named = signed.where("doc_id is not null and n_shingles > 0")
-    classes = settle(named.groupBy("n_shingles", "sum_a", "sum_b").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"), F.first("keys").alias("keys")), "classes")
-
-    cells = classes.select("id", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
-    buckets = settle(cells.groupBy("key").agg(F.min("id").alias("leader"), F.count("*").alias("size")).where("size > 1"), "buckets")
-    members = settle(cells.join(buckets, "key").select("key", "size", "leader", "id", "n"), "members")
-    body = settle(texts.join(members.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id"]).mapInArrow(_sets(k), "id bigint, body binary"), "sets")
+    classes = named.groupBy(*CLASS).agg(F.min("doc_id").alias("doc"), F.first("keys").alias("keys"))
+    classes = settle(classes.withColumn("id", F.monotonically_increasing_id()), "classes")
+
+    cells = classes.select("id", "doc", F.col("n_shingles").alias("n"), F.explode("keys").alias("key"))
+    # The least doc_id, which leads the same way in all its buckets, is also the likeliest origin of the others.
+    buckets = settle(cells.groupBy("key").agg(F.min_by("id", "doc").alias("leader"), F.count("*").alias("size")).where("size > 1"), "buckets")
+    members = settle(cells.join(buckets, "key").select("key", "leader", "id", "n"), "members")
+    wanted = settle(classes.select("id", "doc", *CLASS).join(members.select("id").distinct(), "id", "left_semi"), "wanted")
+    many = wanted.count()
+    found = texts.join(checked(wanted.select(F.col("doc").alias("doc_id")).distinct(), many), "doc_id", "left_semi").select("text")
+    found = found.mapInArrow(_sets(k), "n_shingles bigint, sum_a bigint, sum_b bigint, body binary")
+    body = settle(found.join(checked(wanted.select("id", *CLASS), many), CLASS).select("id", "body").dropDuplicates(["id"]), "sets")
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)").select("a", "b").distinct()
-        both = pairs.join(body.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b").join(body.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a")
-        return both.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a bigint, b bigint")
+        # A leader may have very many pairs: they meet its set while they are narrow.
+        both = pairs.join(body.select(F.col("id").alias("a"), F.col("body").alias("body_a")), "a").join(body.select(F.col("id").alias("b"), F.col("body").alias("body_b")), "b")
+        return settle(both.select("a", "b", "body_a", "body_b").mapInArrow(_linked(percent), "a bigint, b bigint"), "verified")
 
     sizes = members.where("id = leader").select("key", F.col("n").alias("na"))
-    first = members.where("id <> leader").join(sizes, "key").select(F.col("leader").alias("a"), F.col("id").alias("b"), "na", F.col("n").alias("nb"))
-    links = settle(verified(first), "verified")
-    found = settle(connected_components(links), "components")
-    labelled = members.where("id <> leader").select("key", "id").join(checked(found, found.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    links = verified(members.where("id <> leader").join(sizes, "key").select(F.col("leader").alias("a"), F.col("id").alias("b"), "na", F.col("n").alias("nb")))
+    same = _same_document(signed, classes)
+    labels = settle(connected_components(links if same is None else links.unionByName(same)), "components")
+
+    labelled = members.where("id <> leader").select("key", "id").join(checked(labels, labels.count()), "id", "left").withColumn("component", F.coalesce("component", "id"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
     unsettled = settle(labelled.join(settle(open_keys, "open"), "key", "left_semi").select("id", "component").distinct(), "unsettled")
     if not unsettled.isEmpty():
-        fresh = settle(verified(_rare_pairs(body.join(unsettled.select("id"), "id", "left_semi"), unsettled, percent)), "verified")
+        fresh = verified(_rare_pairs(body.join(unsettled.select("id"), "id", "left_semi"), unsettled, percent))
         if not fresh.isEmpty():
-            found = settle(connected_components(links.unionByName(fresh)), "components")
+            labels = settle(connected_components(fresh.unionByName(labels.select(F.col("id").alias("a"), F.col("component").alias("b")))), "components")
 
-    tops = classes.join(checked(found, found.count()), "id", "left").select("n_shingles", "sum_a", "sum_b", F.coalesce("component", "id").alias("component_id"))
+    known = labels.join(classes.select("id", "doc"), "id")
+    least = known.groupBy("component").agg(F.min("doc").alias("component_id"))
+    named = settle(labels.join(checked(settle(least, "least"), labels.count()), "component").select("id", "component_id"), "named")
+    tops = classes.join(checked(named, named.count()), "id", "left").select(*CLASS, F.coalesce("component_id", "doc").alias("component_id"))
     return _attach(signed, settle(tops, "tops"))
 
 
 def _attach(signed: DataFrame, tops: DataFrame) -> DataFrame:
     """Each document with its class's component. A class may hold a third of all rows; the side of the classes is written, so
     the skewed side of the join can be split."""
-    out = signed.drop("keys").join(tops, ["n_shingles", "sum_a", "sum_b"], "left")
+    out = signed.drop("keys").join(tops, CLASS, "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
