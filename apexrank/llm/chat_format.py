@@ -67,7 +67,8 @@ def format_chats(turns: DataFrame, t: Template = CHAT) -> DataFrame:
     segments is an array of (text, loss): for each turn its opening, its escaped text and its closing, the text flagged if the
     role is a loss role; formatted is their concatenation. Turns come in the order of (turn, role, text), nulls first; a null
     text or role is empty. valid tells whether the machine accepts the roles; invalid conversations are formatted all the same.
-    A null conv_id is a conversation of its own. Other columns are ignored; an empty table gives none.
+    All rows with a null conv_id are one conversation. Equal rows are turns each; a very long text is written whole. Other columns
+    are ignored, whatever their names; an empty table gives none.
     """
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -110,7 +111,9 @@ def read_turns(formatted: Column, t: Template = CHAT) -> Column:
 
 
 def digest_chats(chats: DataFrame, t: Template = CHAT) -> DataFrame:
-    """What the output holds, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid."""
+    """What the output holds, read back: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, for each row of
+    chats (as format_chats() gives them, of any length; repeated rows each; an empty table gives none). Where no text is under
+    the loss mask, loss_chars is 0 and loss_sha256 that of no bytes."""
     read = chats.select("conv_id", "valid", "segments", F.length("formatted").cast("bigint").alias("formatted_chars"), read_turns(F.col("formatted"), t).alias("turns"))
     masked = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"], t)), "")
     whole = F.array_join(F.transform("turns", lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n"))), "")

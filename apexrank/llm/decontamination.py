@@ -13,8 +13,11 @@ from .windows import references, sizes_present, windows
 #: Similarity from which a window counts as a copy of an item.
 THRESHOLD = 0.8
 #: Radius of the fingerprints. At similarity 0.8 a bit differs with probability 0.15, so 64 bits differ by 10 on average and by
-#: over 23 once in a million; RADIUS + 1 blocks guarantee a block in common to all pairs within the radius. A shingle that repeats
-#: itself moves bits by its whole weight, so pairs with one are compared exactly whatever their fingerprints.
+#: over 23 once in a million; RADIUS + 1 blocks guarantee a block in common to all pairs within the radius. With a share of 0.15 of
+#: the bits unlike, no guarantee can be had from blocks of more than 1 / 0.15 = 6 bits, however long the fingerprint, and so many
+#: blocks as short as that are met by chance: blocks can't pick the item, so they are matched within the item that a shared
+#: shingle names. A shingle that repeats itself moves bits by its whole weight, so pairs with one are compared exactly whatever
+#: their fingerprints.
 BITS, RADIUS = 64, 23
 BLOCKS = RADIUS + 1
 
@@ -61,7 +64,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
     similarity is the weighted Jaccard similarity of the shingles of five words of a window and of the item (of as many words; the
     window can start anywhere, and the whole text is the window of a shorter text), a shingle's weight being how often it occurs; from `threshold` a window is a copy. Items with fewer than five words are one
-    shingle. Null and wordless texts hold nothing; of ties the first window is given, those first that have a shingle where
+    shingle. Null and wordless texts hold nothing; very long ones are looked at whole; of ties the first window is given, those first that have a shingle where
     the item has it; rows with one doc_id are looked at each,
     and equal results of theirs are given once. Other columns are ignored; an empty table on either side gives none.
     """
@@ -89,7 +92,9 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 
 def decontaminate(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """The rows of docs (doc_id, text, ..) that hold no copy of an item, columns unchanged."""
+    """The rows of docs (doc_id, text, ..) that hold no copy of an item, columns unchanged, whatever their names. Null and empty texts stay,
+    as do texts of any length without a copy; repeated rows share their fate, rows that only share a doc_id don't. Without items all
+    rows stay; an empty table gives none."""
     who, what = fresh("leak_doc", docs.columns), fresh("leak_hash", docs.columns)
     held = settle(contaminated(docs, items).select(F.col("doc_id").alias(who), F.col("text_hash").alias(what)).distinct(), "leaks")
     same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(who)) & (F.xxhash64(F.col("text").cast("string")) == F.col(what))

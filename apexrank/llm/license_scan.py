@@ -59,8 +59,11 @@ def scan_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: fl
     `threshold` of them or more; of ties the first, those first that have a shingle where the template has it. Words are runs
     of letters and digits, case aside, and start_word counts them from 0.
 
+    A window's band keys can equal a template's only where the window holds the shingle that gave the key, so bands are computed for
+    the windows that share a shingle with some template (see windows()), and the join of their keys names the template.
+
     Of several templates of one license the best is given. A template with fewer than five words is one shingle. Null and wordless
-    texts hold nothing; rows are scanned each, and equal rows give one result for a doc_id. Other columns are ignored; empty tables give none.
+    texts hold nothing; very long ones are scanned whole; rows are scanned each, and equal rows give one result for a doc_id. Other columns are ignored; empty tables give none.
     """
     known = known if known is not None else templates(docs.sparkSession)
     named = settle(known.where("text is not null").select("license", "text").distinct().withColumn("ref_id", F.xxhash64("license", "text")), "templates")

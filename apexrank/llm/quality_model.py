@@ -166,8 +166,8 @@ def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     Vectors are learned from labelled rows that are not held out (crc32 of doc_id as text, mod 5, is not 0; a null doc_id is not
     held out). score is the probability of label 1, from the text alone; null and empty texts have the score of an average of
-    nothing, the output's bias; predicted is 1 from a score of 0.3. Without labelled rows every score is 0.5. Repeated rows are
-    scored each; other columns are ignored; an empty table gives none."""
+    nothing, the output's bias; predicted is 1 from a score of 0.3. Without labelled rows every score is 0.5. Very long texts are
+    averaged whole, slab by slab; repeated rows are scored each; other columns are ignored; an empty table gives none."""
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = train(texts.where(~is_held_out(F.col("doc_id"))), labels.where(~is_held_out(F.col("doc_id"))))
     scored = texts.mapInArrow(_scored(model), "doc_id bigint, score double")

@@ -189,7 +189,8 @@ def _compare(model: bytes):
 
 
 def decode(tokens: DataFrame, model: bytes | None = None) -> DataFrame:
-    """doc_id, text for each row of tokens (doc_id, ids); null ids give a null text."""
+    """doc_id, text for each row of tokens (doc_id, ids), of any length; null ids give a null text, no ids an empty one. Repeated rows are
+    decoded each; other columns are ignored; an empty table gives none."""
     model = model or load_model()
 
     def run(batches):
