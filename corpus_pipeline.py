@@ -1,4 +1,9 @@
-"""The corpus pipeline: quality rules, language ID, near-duplicates, decontamination, SentencePiece, each over all that is left."""
+"""The corpus pipeline: quality rules, language ID, near-duplicates, decontamination, SentencePiece, each over all that is left.
+
+Stages take documents with any further columns, whatever their names, and all but the last return the same columns. Null and empty
+texts go in the first stage; very long texts are read whole; repeated rows are kept or dropped together; an empty table gives
+an empty table of the stage's columns.
+"""
 
 from __future__ import annotations
 
@@ -14,29 +19,30 @@ from apexrank.llm.tokens import encode
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents that a quality rule rejects go."""
+    """Operator 4: documents that a quality rule rejects go; see filter_quality()."""
     return filter_quality(docs)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: documents whose language can't be told (`und`) go."""
+    """Operator 2: documents go that the decoder finds to be in no language (`und`), between two, or like none that it has learned; see
+    filter_language()."""
     return filter_language(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10 on shingles of five words, similarity 0.8: of each group of linked documents the one with the least doc_id
-    stays. Rows that repeat a doc_id are one document and stay or go together."""
+    stays. Rows that repeat a doc_id are one document and stay or go together; rows without a doc_id stay."""
     gone = settle(near_duplicates(docs).where("not kept").select("doc_id").distinct(), "copies")
     return docs.join(checked(gone, gone.count()), "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: documents that hold a copy of a benchmark item go."""
+    """Operator 8: documents that hold a copy of a benchmark item go; see decontaminate()."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: the token ids of each document that is left, and whether they decode to its text."""
+    """Operator 1: doc_id, n_tokens, ids of each document that is left, and round_trip, whether they decode to its text; see encode()."""
     return encode(docs).select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "round_trip")
 
 
@@ -47,6 +53,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of what all stages keep of documents. Each stage's result is written and reread."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = settle(stage(spark, docs, sf_dir), name)
