@@ -22,8 +22,8 @@ WIDTH = PAIRS + TRIPLES
 #: Bytes and rows whose counts are held at once.
 SLAB, SLAB_ROWS = 1 << 18, 128
 #: Two best languages whose losses differ by less count as ambiguous, as does a text whose nearest codeword is farther than that of
-#: any held-back training text by FAR times.
-GAP, FAR = 0.1, 1.25
+#: any held-back training text by FAR times, and than LOST times that of a text of which every bit is undecided.
+GAP, FAR, LOST = 0.1, 1.25, 0.75
 
 
 def codewords(classes: int, seed: int = 5) -> np.ndarray:
@@ -138,7 +138,7 @@ def _descend(x: np.ndarray, y: np.ndarray, code: np.ndarray, epochs: int, seed:
 def fit(x: np.ndarray, langs: list[str], epochs: int = 40, seed: int = 3) -> Model:
     """Classifiers of the bits of the languages' codewords. Each fifth text is first held back from a shorter fit: how often a bit is
     right for a class there (counted with one right and one wrong more) is the trust in it, and the largest loss of a right
-    class there bounds the losses of texts that are like one of the languages."""
+    class there, or most of the loss of undecided bits if that is more, bounds the losses of texts that are like one of the languages."""
     names = sorted(set(langs))
     code = codewords(len(names))
     y = np.array([names.index(v) for v in langs])
@@ -151,7 +151,7 @@ def fit(x: np.ndarray, langs: list[str], epochs: int = 40, seed: int = 3) -> Mod
         trust *= code.shape[1] / trust.sum(1, keepdims=True)
         loss = Model(names, code, w, b, trust).losses(x[back])
         own = loss[np.arange(len(loss)), y[back]][loss.argmin(1) == y[back]]
-        far = FAR * float(own.max()) if len(own) else np.inf
+        far = max(LOST * code.shape[1] * np.log(2), FAR * float(own.max())) if len(own) else np.inf
     return Model(names, code, *_descend(x, y, code, epochs, seed), trust, far)
 
 
