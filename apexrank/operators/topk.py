@@ -208,12 +208,16 @@ def by_suffix(r: Relation, q: TopKQuery, early: bool = False) -> DataFrame:
         best = F.greatest(*own) if n > 1 else own[0]
         rows = rows.where(best * float(n) + F.abs(best) * 1e-12 * n + slack >= F.lit(least))
         if not early and n > 2:
-            rows = rows.withColumn("_v", F.sort_array(F.array(*own), asc=False))
-            partial = F.get("_v", F.lit(0))
-            for i in range(1, n - 1):
-                partial = partial + F.get("_v", F.lit(i))
-                bound = partial + F.get("_v", F.lit(i)) * float(n - 1 - i)
-                rows = rows.where(bound + F.abs(F.get("_v", F.lit(0))) * 1e-12 * n + slack >= F.lit(least))
+
+            def reaches(v: Column) -> Column:  # v: the values from the least up
+                at = lambda i: F.get(v, F.lit(n - 1 - i))
+                partial, held = at(0), F.lit(True)
+                for i in range(1, n - 1):
+                    partial = partial + at(i)
+                    held = held & (partial + at(i) * float(n - 1 - i) + F.abs(at(0)) * 1e-12 * n + slack >= F.lit(least))
+                return held
+
+            rows = rows.where(F.transform(F.array(F.sort_array(F.array(*own))), reaches)[0])  # sorted once a row
     return top(rows.select(*r.keys, score(q.attrs, q.weights).alias("score")), r.keys, q.k)
 
 
@@ -242,12 +246,12 @@ def distinct_queries(queries: dict[int, TopKQuery]) -> tuple[dict[int, TopKQuery
 def _best(r: Relation, queries: dict[int, TopKQuery], floor: dict[int, float]) -> DataFrame:
     """(qid, k, rank, keys.., score) in one scan. Rows below every floor go while scores are plain columns; of others, only the scores
     that reach their floor become rows, and the per-query limit is applied before the shuffle."""
-    names = {i: f"_s{i}" for i in queries}
-    rows = r.df.select(*r.keys, *[score(q.attrs, q.weights).alias(names[i]) for i, q in queries.items()])
-    if all(floor.get(i, float("-inf")) > float("-inf") for i in queries):
-        rows = rows.where(reduce(lambda a, b: a | b, [F.col(names[i]) >= F.lit(floor[i]) for i in queries]))
-    each = F.array(*[F.struct(F.lit(i).alias("qid"), F.lit(q.k).alias("k"), F.lit(floor.get(i, float("-inf"))).alias("floor"), F.col(names[i]).alias("score")) for i, q in queries.items()])
-    rows = rows.select(*r.keys, F.explode(each).alias("s")).select(*r.keys, "s.*").where("score >= floor")
+    ids = list(queries)
+    least = [floor.get(i, float("-inf")) for i in ids]
+    scores = F.array(*[score(q.attrs, q.weights) for q in queries.values()])
+    rows = r.df.select(*r.keys, F.posexplode(scores).alias("at", "score"))
+    of = lambda values: F.get(F.lit(values), F.col("at"))
+    rows = rows.where(F.col("score") >= of(least)).select(*r.keys, of(ids).alias("qid"), of([q.k for q in queries.values()]).alias("k"), "score")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), *r.keys)))
     most = max((q.k for q in queries.values()), default=0)
     return ranked.where(F.col("rank") <= most).where(F.col("rank") <= F.col("k")).select("qid", "k", "rank", *r.keys, "score")
