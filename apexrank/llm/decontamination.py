@@ -65,7 +65,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     similarity is the weighted Jaccard similarity of the shingles of five words of a window and of the item (of as many words; the
     window can start anywhere, and the whole text is the window of a shorter text), a shingle's weight being how often it occurs; from `threshold` a window is a copy. Items with fewer than five words are one
     shingle. Null and wordless texts hold nothing; very long ones are looked at whole; of ties the first window is given, those first that have a shingle where
-    the item has it; rows with one doc_id are looked at each,
+    the item first has it; rows with one doc_id are looked at each,
     and equal results of theirs are given once. Other columns are ignored; an empty table on either side gives none.
     """
     refs = references(items.select(F.col("item_id").alias("ref_id"), "text").dropDuplicates())

@@ -56,7 +56,7 @@ def band_keys(shingles: Column) -> Column:
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, license, start_word, n_words, containment for each place of docs (doc_id, text) that holds a template of known (license,
     text; default: TEMPLATES): the place where the most of the template's distinct shingles of five words is found, if that is
-    `threshold` of them or more; of ties the first, those first that have a shingle where the template has it. Words are runs
+    `threshold` of them or more; of ties the first, those first that have a shingle where the template first has it. Words are runs
     of letters and digits, case aside, and start_word counts them from 0.
 
     A window's band keys can equal a template's only where the window holds the shingle that gave the key, so bands are computed for

@@ -26,14 +26,14 @@ _PLAIN = r"list_filter(string_split_regex(lower(coalesce({}, '')), '[^\p{{L}}\p{
 
 def _window_sql(refs: str) -> str:
     """CTEs up to rs: ws holds the shingles of every window (doc_id, ref, n, st) as long as a reference (ref, text) that has one of its
-    shingles anywhere (others have nothing in common), lined the windows where one stands at the reference's own place."""
+    shingles anywhere (others have nothing in common), lined the windows where one stands at the reference's first place of it."""
     return f"""it AS (SELECT ref, {_PLAIN.format("text")} AS w FROM ({refs})),
 iw AS (SELECT ref, w, len(w) AS n, least(5, len(w)) AS k FROM it WHERE len(w) > 0),
 ish AS (SELECT ref, n, k, j, array_to_string(w[j + 1 : j + k], ' ') AS s FROM (SELECT *, unnest(range(0, n - k + 1)) AS j FROM iw)),
 dw AS (SELECT doc_id, {_PLAIN.format("text")} AS w FROM documents),
 dsh AS (SELECT doc_id, nw, k, i, array_to_string(w[i + 1 : i + k], ' ') AS s
         FROM (SELECT doc_id, w, len(w) AS nw, k, unnest(range(0, greatest(len(w) - k + 1, 0))) AS i FROM dw, (SELECT DISTINCT k FROM iw))),
-hit AS (SELECT DISTINCT d.doc_id, d.nw, d.i, r.ref, r.k, r.n, r.j FROM dsh d JOIN ish r ON d.s = r.s AND d.k = r.k),
+hit AS (SELECT DISTINCT d.doc_id, d.nw, d.i, r.ref, r.k, r.n, r.j FROM dsh d JOIN (SELECT ref, n, k, s, min(j) AS j FROM ish GROUP BY ALL) r ON d.s = r.s AND d.k = r.k),
 lined AS (SELECT DISTINCT doc_id, ref, greatest(least(i - j, nw - n), 0) AS st, true AS lined FROM hit),
 pl AS (SELECT DISTINCT doc_id, ref, k, n, unnest(range(greatest(i - n + k, 0), greatest(least(i, nw - n), 0) + 1)) AS st FROM hit),
 ws AS (SELECT p.doc_id, p.ref, p.n, p.st, d.s, count(*) AS c FROM pl p JOIN dsh d ON d.doc_id = p.doc_id AND d.k = p.k AND d.i BETWEEN p.st AND p.st + p.n - p.k GROUP BY ALL),

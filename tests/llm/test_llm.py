@@ -122,6 +122,25 @@ def test_near_duplicates_of_odd_rows(spark, odd, none):
     assert near_dedup.near_duplicates(none).collect() == []
 
 
+def test_rows_of_one_id_are_one_document(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(5, a), (5, b), (7, b + " end"), (9, c), (7, c), (11, None), (11, "other words of their own"), (5, a)]
+    found = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(5, 5, True)] * 3 + [(7, 5, False)] * 2 + [(9, 5, False)] + [(11, 11, True)] * 2
+
+
+def test_texts_around_the_threshold_lose_no_link(spark):
+    rng = np.random.default_rng(9)
+    base, rows = [f"w{i}" for i in range(120)], []
+    for i in range(150):  # texts around the threshold, few of them linked to the least
+        w = list(base)
+        for j in rng.choice(len(w), rng.integers(1, 6), replace=False):
+            w[j] = f"edit{rng.integers(0, 10**6)}"
+        rows.append((i, " ".join(w)))
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert found == components(shingle_sets(rows, 3), 85)
+
+
 def test_every_coordinate_of_a_sketch_fills():
     sets = [np.arange(1, n + 1, dtype=np.uint64) for n in (1, 2, 30, 1000)]
     found = near_dedup.sketch(sets, 64)
@@ -163,11 +182,25 @@ def test_quality_counts_equal_brute_force(spark, odd, none):
     assert quality_rules.filter_quality(none).collect() == []
 
 
+@pytest.mark.parametrize("place", [2, 12, 24, 60])
+def test_repeated_words_whatever_the_bits_of_a_place(spark, docs, monkeypatch, place):
+    monkeypatch.setattr(quality_rules, "PLACE", place)  # few bits of place or of hash: runs are sorted as pairs
+    rng = np.random.default_rng(place)
+    rows = [*docs[:60], *[(80_000 + i, " ".join(rng.choice(list("abc"), rng.integers(0, 60)))) for i in range(60)], (99_000, LONG)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = {r.doc_id: r.n for r in frame.select("doc_id", quality_rules.repeat_words(quality_rules.words(F.col("text"))).alias("n")).collect()}
+    for i, text in rows:
+        w = words(text)
+        runs_ = [tuple(w[j : j + 3]) for j in range(len(w) - 2)]
+        seen = Counter(runs_)
+        assert found[i] == len({p + j for p, t in enumerate(runs_) if seen[t] > 1 for j in range(3)}), i
+
+
 def test_order_of_rules_never_changes_the_verdict(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     want = {r.doc_id for r in quality_rules.score_quality(docs).where("kept").collect()}
     assert {r.doc_id for r in quality_rules.filter_quality(docs).collect()} == want
-    rate = [s / max(c, 1e-9) for _, c, s in quality_rules.ordered(docs)]
+    rate = [s / c for _, c, s in quality_rules.ordered(docs)]
     assert rate == sorted(rate, reverse=True)
 
 
@@ -190,6 +223,15 @@ def test_chats_read_back(spark):
     assert chat_format.format_chats(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")).collect() == []
 
 
+def test_odd_chats(spark):
+    rows = [(None, 0, "user", "a", 1, "x"), (None, 1, "assistant", LONG, 1, "x"), (5, 0, "user", "q", 1, "x"), (5, 0, "user", "q", 1, "x"), (6, None, "user", None, 1, "x")]
+    chats = chat_format.format_chats(spark.createDataFrame(rows, "conv_id bigint, turn int, role string, text string, segments int, formatted string"))
+    found = {r.conv_id: r for r in chat_format.digest_chats(chats).collect()}
+    assert set(found) == {None, 5, 6}
+    assert found[None].loss_sha256 == hashlib.sha256(LONG.encode()).hexdigest() and found[None].valid
+    assert found[5].n_turns == 2 and not found[5].valid and found[6].loss_chars == 0
+
+
 # 6: shards
 
 
@@ -201,13 +243,31 @@ def test_shards_are_even_and_gapless(spark, odd, none):
         size[r.shard] += r.size
         slots.setdefault(r.shard, []).append(r.slot)
     assert len(found) == 3000 and sorted(size) == list(range(16))
-    assert max(size.values()) - min(size.values()) <= 2 * 51
+    assert max(size.values()) - min(size.values()) <= 4 * (51 + sharding.OVERFULL * sum(size.values()) / (16 * sharding.SHARD_RANGES))
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
     rows = sharding.assign_shards(odd).collect()
     assert len(rows) == len(ODD) and all(r.text_crc32 == zlib.crc32((t or "").encode()) for r in rows for i, t, *_ in ODD if i == r.doc_id and i != 9)
     assert sharding.assign_shards(none).collect() == []
 
 
+def test_shards_follow_the_order_of_keys(spark, docs):
+    copies = [(50_000 + i, "a text that many rows hold, again and again") for i in range(700)] + [(60_000 + i, f"twin {i // 2}") for i in range(200)] + [(60_000, "twin 0")]
+    frame = spark.createDataFrame([*docs, *copies], "doc_id bigint, text string").withColumns({"k2": F.lit("clash"), "size": F.lit(1), "r": F.lit("x")})
+    text = {i: t for i, t in [*docs, *copies]}
+    digest = {r.doc_id: r.h for r in frame.select("doc_id", F.xxhash64("text").alias("h")).collect()}
+    found = sharding.assign_shards(frame, 4).collect()
+    row = lambda r: (zlib.crc32(text[r.doc_id].encode()), digest[r.doc_id], r.doc_id)
+    assert [row(r) for r in sorted(found, key=lambda r: (r.shard, r.slot))] == sorted(map(row, found))
+    total, sizes, of = sum(r.size for r in found), Counter(), {}
+    for r in found:
+        sizes[r.shard] += r.size
+        of.setdefault(text[r.doc_id], []).append(r)
+    most = max(r.size for r in found)
+    share = sharding.OVERFULL * total / (4 * sharding.SHARD_RANGES) + most
+    assert all(abs(sizes[s] - total / 4) <= 2 * share for s in range(4))
+    assert all(len({r.shard for r in rows}) == 1 for rows in of.values() if sum(r.size for r in rows) <= share)
+
+
 # 5: WARC
 
 
@@ -244,6 +304,31 @@ def test_archive_with_faults_is_refused():
         list(warc.read_archive(io.BytesIO(whole[:-3])))
 
 
+def test_faults_come_back_as_rows(spark, tmp_path):
+    import zstandard
+
+    press = zstandard.ZstdCompressor()
+    good = warc.record(1, "u", hashlib.sha256(b"body").hexdigest(), "response", None, b"body", 4)
+    again = warc.record(2, "u", hashlib.sha256(b"body").hexdigest(), "revisit", 1, b"body", 4)
+    bad = [good.replace(b"body", b"bodx"), good.replace(b"Target-URI: u", b"Target-URI: \xff"), again.replace(b"X-Payload-Length: 4\r\n", b"")]
+    whole = b"".join(press.compress(x) for x in [good, *bad, again])
+    (tmp_path / "a.warc.zst").write_bytes(whole)
+    (tmp_path / "b.warc.zst").write_bytes(press.compress(good) + b"no frame at all")
+    names = spark.createDataFrame([("a.warc.zst",), ("b.warc.zst",), ("a.warc.zst",)], "name string")
+    found = warc.read_archives(spark, f"file://{tmp_path}", names, faults=True).collect()
+    assert sorted(r.page_id for r in found if r.fault is None) == [1, 1, 2]
+    assert sorted(r.fault.split(":")[0] for r in found if r.fault) == ["a frame is damaged", "a revisit does not tell its payload's length", "headers are not UTF-8", "payload digest does not match the block"]
+    with pytest.raises(Exception, match="WarcError"):
+        warc.read_archives(spark, f"file://{tmp_path}", names).collect()
+    assert warc.read_archives(spark, f"file://{tmp_path}", names.limit(0)).collect() == []
+
+
+def test_the_drawn_payloads_are_few_and_the_same(spark):
+    pages = spark.range(5000).select(F.col("id").alias("page_id"), F.concat(F.lit("page "), F.col("id")).alias("html"))
+    first, second = (warc.draw_payloads(p, 50) for p in (pages, pages.repartition(7)))
+    assert len(first) == 50 and first == second
+
+
 # 1: tokens
 
 
@@ -311,6 +396,58 @@ def test_languages_of_held_out_documents(spark, odd, none):
     assert language_id.predict_languages(odd.withColumn("lang", F.lit(None).cast("string"))).where("lang_pred <> 'und'").count() == 0
 
 
+def brute_grams(text):
+    data = text.encode()
+    low = bytearray(data.lower() if data.isascii() else bytes(b + 32 if 65 <= b <= 90 else b for b in data))
+    for i in range(1, len(low)):
+        if data[i - 1] == 0xC3 and 0x80 <= data[i] <= 0x9E:
+            low[i] = data[i] + 32
+    counts = np.zeros(language_id.WIDTH)
+    for n, buckets, base in ((2, language_id.PAIRS, 0), (3, language_id.TRIPLES, language_id.PAIRS)):
+        for i in range(len(low) - n + 1):
+            code = int.from_bytes(low[i : i + n], "little")
+            counts[base + ((code * 0x9E3779B1 & 0xFFFFFFFF) >> (32 - buckets.bit_length() + 1))] += 1
+    return np.sqrt(counts) / max(np.sqrt(counts.sum()), 1e-9)
+
+
+def test_language_features_and_decoding_equal_brute_force():
+    texts = ["Élan Ñandú ÜBER", "a", "", "plain words, twice: plain words"]
+    found = np.concatenate([x for _, x in language_id.features(pa.array(texts))])
+    assert np.allclose(found, [brute_grams(t) for t in texts], atol=1e-6)
+    rng = np.random.default_rng(1)
+    code = language_id.codewords(4)
+    model = language_id.Model(list("abcd"), code, rng.normal(size=(5, 7)), rng.normal(size=7), rng.random((4, 7)) + 0.5, 9.0)
+    x = rng.normal(size=(50, 5))
+    best, share, unsure = model.predict(x)
+    for i, row in enumerate(x):
+        margin = [sum(row[f] * model.weights[f, j] for f in range(5)) + model.bias[j] for j in range(7)]
+        loss = [sum(model.trust[c, j] * np.log1p(np.exp(-margin[j] * code[c, j])) for j in range(7)) for c in range(4)]
+        near = sorted(loss)
+        assert best[i] == loss.index(near[0]) and abs(share[i] - np.exp(-near[0]) / sum(np.exp(-v) for v in loss)) < 1e-9
+        assert unsure[i] == (near[1] - near[0] < language_id.GAP or near[0] > 9.0)
+
+
+def test_a_rare_language_is_learned(spark, docs):
+    rows = [(i, t, "en") for i, t in docs if t] * 20 + [(90_000 + i, " ".join(["zorg", "quux", "xyzzy", "frobni"][(i + j) % 4] for j in range(30)), "zz") for i in range(14)]
+    assert language_id.quotas({"en": 5000, "zz": 14, "fr": 900}, 1200) == {"zz": 14, "fr": 593, "en": 593}
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.train(frame)
+    assert model.langs == ["en", "zz"]
+    got = language_id.identify(spark.createDataFrame([(1, "xyzzy quux zorg frobni " * 9)], "doc_id bigint, text string"), model).first()
+    assert got.lang_pred == "zz" and not got.ambiguous
+
+
+def test_the_language_stage_drops_what_the_model_doubts(spark, docs):
+    base = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd_ones = [(70_001, "0x9f 7b3c! " * 20, None), (70_002, None, None), (70_003, "Ж щ ю э " * 30, None), (70_004, "!!! ??? 123", "en")]
+    rows = base.unionByName(spark.createDataFrame(odd_ones, "doc_id bigint, text string, lang string"))
+    left = {r.doc_id for r in language_id.filter_language(rows).collect()}
+    said = {r.doc_id: r for r in language_id.predict_languages(rows).collect()}
+    assert left == {i for i, r in said.items() if r.lang_pred != "und" and not r.ambiguous}
+    assert not left & {70_002, 70_003, 70_004} and said[70_003].ambiguous
+    assert len(left & {r.doc_id for r in base.collect()}) >= 0.97 * base.count()
+
+
 def test_few_labels_among_many_rows_are_all_used(spark, monkeypatch):
     rows = [(i, f"text number {i} of many", ("en", "fr")[i % 2] if i % 100 < 2 else None) for i in range(4000)]
     seen = []
@@ -360,9 +497,60 @@ def test_quality_of_held_out_documents(spark, odd, none):
     assert quality_model.score_documents(none, few).collect() == []
 
 
+def brute_score(model, text):
+    wrap = (1 << 64) - 1
+    mixed = lambda x: int(kernels.mix(np.array([x & wrap], np.uint64))[0])
+    data, base = text.encode(), int(kernels.BASE)
+    hashes = [mixed(sum((b + 1) * pow(base, j, 1 << 64) for j, b in enumerate(w.encode()))) for w in words(text)]
+    codes = [(h, 1) for h in hashes] + [(h * base + g, 2) for h, g in zip(hashes, hashes[1:])]
+    codes += [(int.from_bytes(data[i : i + n], "little"), n) for n in quality_model.GRAMS for i in range(len(data) - n + 1)]
+    cells = [mixed(c + kind * 0x9E3779B97F4A7C15) % quality_model.BUCKETS for c, kind in codes]
+    mean = sum(model.vectors[c] for c in cells) / max(1, len(cells)) + np.zeros(quality_model.WIDTH)
+    z = np.exp(mean @ model.output + model.bias)
+    return z[1] / z.sum()
+
+
+def test_quality_scores_equal_brute_force(monkeypatch):
+    rng = np.random.default_rng(3)
+    model = quality_model.Model(rng.normal(size=(quality_model.BUCKETS, quality_model.WIDTH)), rng.normal(size=(quality_model.WIDTH, 2)), rng.normal(size=2))
+    texts = ["two words", "", None, "é", "a longer text, with Some Words and some words again\n" * 5]
+    batch = lambda: pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+    found = next(quality_model._scored(model)([batch()])).column("score").to_pylist()
+    assert np.allclose(found, [brute_score(model, t or "") for t in texts])
+    monkeypatch.setattr(kernels, "SLAB", 64)  # the last text now is a long one
+    assert np.allclose(next(quality_model._scored(model)([batch()])).column("score").to_pylist(), found)
+
+
 # 8 and 3: windows
 
 
+def sets_of_similarity(rng, n, common):
+    shared = rng.integers(1, 1 << 62, common)
+    return [[int(x) for x in (*shared, *rng.integers(1, 1 << 62, n - common))] for _ in range(2)]
+
+
+def test_recall_of_bands_and_of_fingerprints(spark):
+    """Windows at the threshold (containment 0.8 of 50 shingles: similarity 2/3; weighted similarity 0.8: 40 of 45 in common)."""
+    rng = np.random.default_rng(6)
+    pairs = [sets_of_similarity(rng, 50, 40) for _ in range(400)]
+    frame = spark.createDataFrame(pairs, "a array<bigint>, b array<bigint>")
+    keys = frame.select(F.arrays_overlap(license_scan.band_keys(F.col("a")), license_scan.band_keys(F.col("b"))).alias("met"))
+    assert keys.where("met").count() == len(pairs)
+    near = spark.createDataFrame([sets_of_similarity(rng, 45, 40) for _ in range(400)], "a array<bigint>, b array<bigint>")
+    prints = near.select(decontamination.simhash(F.col("a")).alias("a"), decontamination.simhash(F.col("b")).alias("b"))
+    found = prints.select(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))).alias("d"), F.arrays_overlap(decontamination.blocks(F.col("a")), decontamination.blocks(F.col("b"))).alias("met")).collect()
+    assert all(r.d <= decontamination.RADIUS for r in found) and all(r.met for r in found)
+    assert 6 < np.mean([r.d for r in found]) < 13
+
+
+def test_leaks_of_documents_with_clashing_columns(spark):
+    items = spark.createDataFrame([(1, "five plain words and more of them"), (1, "five plain words and more of them")], "item_id bigint, text string")
+    rows = spark.createDataFrame([(1, "x " * 9 + "five plain words and more of them", 1, "a", 2), (1, "clean", 1, "b", 2), (2, LONG + " five plain words and more of them", 1, "c", 2)], "doc_id bigint, text string, item_id int, key string, print int")
+    assert sorted((r.doc_id, r.item_id, r.start_word) for r in decontamination.contaminated(rows, items).collect()) == [(1, 1, 9), (2, 1, 60_000)]
+    left = decontamination.decontaminate(rows, items)
+    assert left.columns == rows.columns and [r.key for r in left.collect()] == ["b"]
+
+
 def plain(text):
     return [w for w in re.split(r"[^\w]|_", (text or "").lower()) if w]
 
@@ -406,14 +594,23 @@ def test_leaks_equal_brute_force(spark, docs, odd, none):
     assert [r.text for r in left.collect()] == ["clean"]
 
 
-def test_leaks_beyond_the_inline_bound(spark, docs, monkeypatch):
+def test_leaks_do_not_depend_on_the_filter(spark, docs, monkeypatch):
     from apexrank.llm import windows
 
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
     frame = spark.createDataFrame(docs, "doc_id bigint, text string")
     want = sorted(map(tuple, decontamination.contaminated(frame, items).collect()))
     monkeypatch.setattr(windows, "INLINE", 3)
-    assert sorted(map(tuple, decontamination.contaminated(frame, items).collect())) == want
+    for bits in (64, 4096):  # full, and with many wrong hits
+        monkeypatch.setattr(windows, "LEAST_BITS", bits)
+        monkeypatch.setattr(windows, "MOST_BITS", bits)
+        assert sorted(map(tuple, decontamination.contaminated(frame, items).collect())) == want
+    held = spark.range(5000).select(F.xxhash64("id").alias("h"))
+    monkeypatch.undo()
+    monkeypatch.setattr(windows, "INLINE", 3)
+    test = windows.known(held)
+    assert held.where(test(F.col("h"))).count() == 5000
+    assert spark.range(5000, 105_000).select(F.xxhash64("id").alias("h")).where(test(F.col("h"))).count() < 50
 
 
 def edited(n, ends, inserted):
@@ -490,7 +687,9 @@ def test_pipeline_equals_its_parts(spark, library):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     rows = {r.doc_id: r.text for r in docs.collect()}
     rows = {r.doc_id: rows[r.doc_id] for r in quality_rules.score_quality(docs).where("kept").collect()}
-    rows = {i: t for i, t in rows.items() if re.search(r"[^\W\d_]", t)}
+    kept = docs.where(F.col("doc_id").isin(list(rows)))
+    clear = {r.doc_id for r in language_id.predict_languages(kept).where("lang_pred <> 'und' and not ambiguous").collect()}
+    rows = {i: t for i, t in rows.items() if i in clear}
     low = components(shingle_sets(rows.items(), 5), 80)
     rows = {i: t for i, t in rows.items() if low[i] == i}
     items = duckdb.sql(f"select item_id, text from '{sf}/benchmark.parquet'").fetchall()
@@ -498,3 +697,24 @@ def test_pipeline_equals_its_parts(spark, library):
     want = {i: library.encode(t) for i, t in rows.items() if i not in leaks}
     found = {r.doc_id: r.ids for r in corpus_pipeline.run(spark, sf).collect()}
     assert found == want
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, none, tmp_path):
+    import corpus_pipeline
+
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(str(tmp_path / "odd/benchmark.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").limit(0).write.parquet(str(tmp_path / "none/benchmark.parquet"))
+    base = spark.read.parquet(f"{SF}/documents.parquet").limit(40).withColumns({"doc_id": F.col("doc_id") + 1000, "score": F.lit("own"), "key": F.lit(2), "letters": F.lit("y")})
+    base.unionByName(odd).write.parquet(str(tmp_path / "odd/documents.parquet"))
+    none.write.parquet(str(tmp_path / "none/documents.parquet"))
+    found = corpus_pipeline.run(spark, str(tmp_path / "odd")).collect()
+    assert found and all(r.round_trip for r in found) and not {r.doc_id for r in found} & {1, 2, 3, 4, 5, 8, 9}
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).collect() == []
+
+
+def test_stages_return_the_columns_of_documents(spark):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs, SF).columns == docs.columns
