@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -68,5 +70,16 @@ def angles(attrs, shift: float = 1.1) -> list[Column]:
     return out[::-1]
 
 
+def float_bits(value: Column) -> Column:
+    """The 32 bits of a value as single precision, as an unsigned number: for values that are not negative, in the order of the values.
+    No built-in function gives them, so an Arrow batch is viewed as integers."""
+
+    @F.pandas_udf("bigint")
+    def bits(values: pd.Series) -> pd.Series:
+        return pd.Series(values.to_numpy(np.float32).view(np.uint32).astype(np.int64))
+
+    return bits(value.cast("float"))
+
+
 def value_range(attrs) -> Column:
     return F.greatest(*attrs) - F.least(*attrs)

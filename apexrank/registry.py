@@ -422,7 +422,7 @@ def spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prep.spearman(views.line_items(spark, sf_dir)).withColumn("rho", F.col("rho") + 0.0)
 
 
-@query("parse_metrics")
+@query("parse_metrics", "SELECT * FROM (VALUES ('tt_init', 12.5::DOUBLE), ('tt_procesing', 3.25::DOUBLE), ('tuple_count', 4096.0::DOUBLE), ('tuples_per_second', 1.5e6::DOUBLE)) v(metric, value)")
 def parse_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The line names of the run log.
     lines = ["tt_init: 12.5", "tt_procesing: 3.25", "tuple_count: 4096", "tuples_per_second: 1.5e6", "threshold=[1.2]"]
@@ -640,7 +640,7 @@ def make_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return generators.told_apart(r.df, r.keys, r.attrs)
 
 
-@query("random_shuffle")
+@query("random_shuffle", f"WITH {LI} SELECT * FROM lr")
 def random_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows in a random order that a seed fixes."""
     r = views.line_items(spark, sf_dir)

@@ -296,6 +296,13 @@ def test_integers_and_back(spark):
     assert np.allclose(back, [0.0, 0.125, 1.0, 1 / 3], atol=2**-30)
 
 
+def test_float_bits(spark):
+    values = [0.0, 0.5, 1.0, 3.25, 1e-30]
+    found = spark.createDataFrame([(v,) for v in values], "a0 double").select("a0", scalar.float_bits(F.col("a0")).alias("b")).collect()
+    assert all(r.b == int.from_bytes(np.float32(r.a0).tobytes(), "little") for r in found)
+    assert [r.a0 for r in sorted(found, key=lambda r: r.b)] == sorted(values)
+
+
 def test_differences_of_results(spark):
     a, b = (spark.createDataFrame([(i,) for i in own], "tid bigint") for own in ([3, 1, 2, 2], [2, 3, 4]))
     assert sorted(map(tuple, prep.differences(a, b, ["tid"]).collect())) == [("a", 1), ("a", 2), ("b", 4)]
