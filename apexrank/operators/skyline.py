@@ -198,20 +198,58 @@ def dominance_class(r: Relation, pivot: dict) -> DataFrame:
     return r.df.select(*r.keys, F.when(ge & le, "equal").when(ge, "dominates").when(le, "dominated").otherwise("neither").alias("relation"))
 
 
+def _peel(names: list[str], attrs, most: int | None, number: bool):
+    """mapInArrow: the rows of a task's own first `most` layers, with their number as `layer` if number is set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, kept = [], 0, 0
+
+        def peeled() -> pa.Table:
+            table = pa.concat_tables(held)
+            values = _matrix(table, attrs, 1.0)
+            layer = np.full(table.num_rows, -1)
+            left, n = np.arange(table.num_rows), 0
+            while len(left) and n != most:
+                top = local_rows(values[left])
+                layer[left[top]] = n
+                left, n = left[~top], n + 1
+            return table.append_column("layer", pa.array(layer, pa.int32())).filter(pa.array(layer >= 0))
+
+        for batch in batches:  # memory holds the layers so far and about as many rows more
+            held.append(pa.Table.from_batches([batch]))
+            rows += batch.num_rows
+            if most is not None and rows > max(1 << 15, 2 * kept):
+                held = [peeled().select(names)]
+                rows = kept = held[0].num_rows
+        if held:
+            out = peeled()
+            yield from (out if number else out.select(names)).combine_chunks().to_batches()
+
+    return run
+
+
 def layers(r: Relation, most: int | None = None) -> DataFrame:
     """Rows with layer: 0 for the skyline, then that of the rest, and so on; with most, rows beyond so many layers have the last
-    number. Each layer is written before the next is looked for."""
-    left, out, n = r.df, [], 0
-    while not left.isEmpty():
-        if most is not None and n == most:
-            out.append(left.withColumn("layer", F.lit(n)))
-            break
-        top = settle(skyline(r.using(left)).select(*r.keys))
-        held = left.join(top, list(r.keys), "left_semi").withColumn("layer", F.lit(n))
-        out.append(settle(held))
-        left = settle(left.join(top, list(r.keys), "left_anti"))
-        n += 1
-    return reduce(DataFrame.unionByName, out) if out else r.df.withColumn("layer", F.lit(0))
+    number, and one pass leaves the rows that are in the first layers of their task, which hold those of all. What is left is
+    layered in one task if it is few rows, else layer by layer, each written before the next is looked for."""
+    names = [*r.columns(), "_row"]
+    rows = settle(r.df.select(*r.columns()).withColumn("_row", F.monotonically_increasing_id()))
+    left = rows if most is None else settle(rows.mapInArrow(_peel(names, r.attrs, most, False), rows.schema))
+    if left.count() <= LAST:
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in left.schema) + ", layer int"
+        found = settle(left.repartition(1).mapInArrow(_peel(names, r.attrs, most, True), schema))
+    else:
+        out, n = [], 0
+        while n != most and not left.isEmpty():
+            top = settle(skyline(Relation(left, ("_row",), r.attrs)).select("_row"))
+            out.append(settle(left.join(checked(top, top.count()), "_row", "left_semi").withColumn("layer", F.lit(n))))
+            left = settle(left.join(checked(top, top.count()), "_row", "left_anti"))
+            n += 1
+        found = reduce(DataFrame.unionByName, out)
+    if most is not None:
+        done = found.select("_row")
+        found = found.unionByName(rows.join(checked(done, done.count()), "_row", "left_anti").withColumn("layer", F.lit(most)))
+    return found.drop("_row")
 
 
 def dominance_tests(r: Relation, largest: bool = True) -> DataFrame:

@@ -258,6 +258,25 @@ def test_layers_stack(spark):
         assert found[i] == (max(above) + 1 if above else 0)
 
 
+@pytest.mark.parametrize("most", [None, 0, 1, 3, 99])
+@pytest.mark.parametrize("last", [10, 50_000])
+def test_layers_equal_brute_force(spark, monkeypatch, most, last):
+    monkeypatch.setattr(skyline, "LAST", last)
+    values = CASES["ties"][:60]
+    left, want, n = dict(enumerate(values)), {}, 0
+    while left and n != most:
+        ids_ = list(left)
+        top = [ids_[i] for i in brute_skyline([left[i] for i in ids_])]
+        want |= {i: n for i in top}
+        left = {i: v for i, v in left.items() if i not in top}
+        n += 1
+    want |= {i: most for i in left}
+    r = relation(spark, values)
+    found = skyline.layers(r.using(r.df.repartition(4)), most)
+    assert {x.tid: x.layer for x in found.collect()} == want and found.columns == ["tid", "a0", "a1", "a2", "layer"]
+    assert skyline.layers(r.using(r.df.limit(0)), most).collect() == []
+
+
 def test_equal_rows_do_not_dominate_each_other(spark):
     assert sorted(ids(skyline.skyline(relation(spark, [(1, 1), (1, 1), (0, 1)])))) == [0, 1]
 
