@@ -173,7 +173,7 @@ def train(rows: DataFrame, most: int = TRAIN_ROWS) -> Model | None:
         return None
     quota = quotas(counts, most)
     bound = {v: (1 << 30 if n <= 2 * quota[v] + 20 else int((1 << 30) * (1.5 * quota[v] + 20) / n)) for v, n in counts.items()}
-    of = lambda table: F.element_at(F.create_map(*[F.lit(c) for pair in table.items() for c in pair]), F.col("lang"))
+    of = lambda table: F.try_element_at(F.create_map(*[F.lit(c) for pair in table.items() for c in pair]), F.col("lang"))
     near = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < of(bound))
     first = Window.partitionBy("lang").orderBy("h", "body")
     drawn = near.mapInArrow(_with_hash, "lang string, body binary, h bigint").withColumn("nth", F.row_number().over(first))
