@@ -19,6 +19,8 @@ MINUS = float("-inf")
 #: Fixed values of the model format: kinds of piece and of model.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: A letter, as a pattern.
+LETTER = r"[^\W\d_]"
 #: Words and pairs of pieces whose segmentation a worker remembers in each of two generations.
 REMEMBERED = 300_000
 
@@ -71,16 +73,35 @@ class Vocabulary:
         self.longest = max((len(p) for p in self.ids), default=1)
         self.floor = min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0
         whole = all(not re.search(f"[^{SPACE}]{SPACE}|\n", p) for p in self.ids)
-        #: Where no piece can lie across: before a space behind another character, and around a line end. None: nowhere.
-        self.word = re.compile(f"\n|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+") if whole else None
+        self.word = re.compile(f"\n|{SPACE}*{LETTER}++{self._parting()}|{SPACE}+[^{SPACE}\n]*|[^{SPACE}\n]+") if whole else None
         self.four = [i.to_bytes(4, "little") for i in range(len(self.pieces))]
         self.rank = {p: self.scores[i] for p, i in self.ids.items()}
         self.heads = {p[:n] for p in self.ids for n in range(1, len(p))}
         self.pairs: dict[str, dict[str, bool]] = {}  # whether a piece fits behind another
         self.paired = 0
+        #: The bytes that each piece decodes to; byte pieces give their byte.
+        self.raw = [p.replace(SPACE, " ").encode() for p in self.pieces]
+        for b, i in self.bytes_at.items():
+            self.raw[i] = bytes([b])
+        for i, k in enumerate(self.kinds):
+            if k in (CONTROL, UNKNOWN):
+                self.raw[i] = b"" if k == CONTROL else b" \xe2\x81\x87 "
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def _parting(self) -> str:
+        """A pattern for the end of a run of letters where no piece can lie across: no piece has what stands before and behind next to
+        each other."""
+        before: dict[str, set[str]] = {}
+        for p in self.ids:
+            for a, b in zip(p, p[1:]):
+                if re.fullmatch(LETTER, a):
+                    before.setdefault(b, set()).add(a)
+        listed = lambda chars: "".join(map(re.escape, sorted(chars)))
+        marks = [b for b in sorted(before) if not re.fullmatch(LETTER, b)]
+        cases = [f"(?=[^{SPACE}\n{listed(before)}])", *(f"(?<![{listed(before[b])}])(?={re.escape(b)})" for b in marks)]
+        return f"(?:{'|'.join(cases)})"
+
     @classmethod
     def parse(cls, data: bytes) -> Vocabulary:
         pieces, scores, kinds, model, dummy = [], [], [], UNIGRAM, True
@@ -224,28 +245,38 @@ class Vocabulary:
     def only_path(self, text: str) -> list[str]:
         """trace() from the start for BPE, where just one path to each position has a finite weight: longer pieces are tried first, and
         a position from which the end was not reached is not tried again."""
-        n, pairs, dead = len(text), self.pairs, set()
+        n, pairs, heads, ids, dead = len(text), self.pairs, self.heads, self.ids, set()
         path, waiting = [], []
-        at, before, choices = 0, "", self.starts(text, 0)
+        at, before = 0, ""
         while True:
-            known = pairs.get(before) or {}
-            while choices:
-                piece = choices.pop()
-                if at + len(piece) in dead:
+            choices, end = [text[at]], at + 1  # as starts()
+            head = choices[0]
+            while end < n and head in heads:
+                end += 1
+                head = text[at:end]
+                if head in ids:
+                    choices.append(head)
+            while True:
+                known = pairs.get(before)
+                while choices:
+                    piece = choices.pop()
+                    end = at + len(piece)
+                    if end in dead:
+                        continue
+                    fits = known.get(piece) if known else None
+                    if fits or (fits is None and self.weight(before, piece) > MINUS):
+                        break
+                else:
+                    dead.add(at)
+                    at, before, choices = waiting.pop()
+                    path.pop()
                     continue
-                fits = known.get(piece)
-                if fits or (fits is None and self.weight(before, piece) > MINUS):
-                    path.append(piece)
-                    waiting.append((at, before, choices))
-                    at, before = at + len(piece), piece
-                    if at == n:
-                        return path
-                    choices = self.starts(text, at)
-                    break
-            else:
-                dead.add(at)
-                at, before, choices = waiting.pop()
-                path.pop()
+                break
+            path.append(piece)
+            if end == n:
+                return path
+            waiting.append((at, before, choices))
+            at, before = end, piece
 
     def word_ids(self, word: str) -> bytes:
         """Little-endian 32-bit ids of a stretch that no piece crosses the ends of."""
@@ -318,19 +349,15 @@ class Vocabulary:
                 total, last = total + self.weight(last, piece), piece
         return total
 
-    def decode(self, ids) -> str:
-        """The text of ids: byte pieces give their byte, the prefix's space is taken off."""
-        if not hasattr(self, "raw"):
-            text = [p.replace(SPACE, " ").encode() for p in self.pieces]
-            for b, i in self.bytes_at.items():
-                text[i] = bytes([b])
-            for i, k in enumerate(self.kinds):
-                if k in (CONTROL, UNKNOWN):
-                    text[i] = b"" if k == CONTROL else b" \xe2\x81\x87 "
-            self.raw = text
-        out = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
+    def text(self, raw: bytes) -> str:
+        """The text of the joined bytes of pieces: the prefix's space is taken off."""
+        out = raw.decode("utf-8", "replace")
         return out[1:] if self.dummy_prefix and out[:1] == " " else out
 
+    def decode(self, ids) -> str:
+        """The text of ids."""
+        return self.text(b"".join(map(self.raw.__getitem__, ids)))
+
 
 def compose(a: dict, b: dict) -> dict:
     """The max-plus product of two transfer matrices {(state, state): weight}; associative."""

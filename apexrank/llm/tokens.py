@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import sys
 import zlib
+from functools import reduce
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import settle
-from .pieces import SPACE, Vocabulary, compose
+from .pieces import MINUS, SPACE, Vocabulary, compose
 
 #: Characters of a chunk. Texts of more than two chunks are scanned in parallel.
 CHUNK = 16_384
+#: Chunks whose matrices one task multiplies, and rows of a record batch of chunks.
+GROUP, ROWS = 256, 32
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -38,110 +43,153 @@ def _lists(parts: list[bytes]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(parts), "<i4")))
 
 
+def _decoded(v: Vocabulary, raw: pa.Array, ids: pa.ListArray) -> list[str]:
+    """The text of each list of ids; raw holds the bytes of each piece."""
+    joined = pc.binary_join(pa.ListArray.from_arrays(ids.offsets, raw.take(ids.values)), b"")
+    return [v.text(x) for x in joined.to_pylist()]
+
+
 def _encode_short(model: bytes):
     """mapInArrow: (doc_id, text) to (doc_id, ids, round_trip), a batch of bounded size at a time."""
 
     def run(batches):
         v = _vocabulary(model)
+        raw = pa.array(v.raw, pa.binary())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                ids, same = [], []
-                for text in part.column("text").to_pylist():
-                    found = v.encode(v.normal(text or ""))
-                    ids.append(found)
-                    same.append(v.decode(np.frombuffer(found, "<i4").tolist()) == (text or "").replace(SPACE, " "))
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), _lists(ids), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+                texts = [t or "" for t in part.column("text").to_pylist()]
+                ids = _lists([v.encode(v.normal(t)) for t in texts])
+                same = [back == t.replace(SPACE, " ") for back, t in zip(_decoded(v, raw, ids), texts, strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
 
     return run
 
 
+def _batched(rows, schema: pa.Schema):
+    rows = iter(rows)
+    while part := list(islice(rows, ROWS)):
+        yield pa.RecordBatch.from_pylist(part, schema)
+
+
+STATES = [("enter", pa.string()), ("enter_over", pa.int32()), ("leave", pa.string()), ("leave_over", pa.int32())]
+ENTRY = pa.struct([("a", pa.string()), ("x", pa.int32()), ("b", pa.string()), ("y", pa.int32()), ("w", pa.float64())])
+ENTRIES = "entries array<struct<a:string,x:int,b:string,y:int,w:double>>"
+
+
+def _packed(matrix: dict) -> list[dict]:
+    return [{"a": a, "x": x, "b": b, "y": y, "w": w} for ((a, x), (b, y)), w in matrix.items()]
+
+
+def _matrices(rows: list[dict]) -> list[dict]:
+    return [{((e["a"], e["x"]), (e["b"], e["y"])): e["w"] for e in r["entries"]} for r in rows]
+
+
 def _chunks(model: bytes, chunk: int):
     """mapInArrow: (key, doc_id, text) to overlapping chunks: body is what pieces can reach from [chunk * n, chunk * (n+1))."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("lead", pa.int32()), ("size", pa.int32()), ("body", pa.string())])
 
     def run(batches):
         v = _vocabulary(model)
-        names = ["key", "doc_id", "n", "last", "lead", "size", "body"]
-        for batch in batches:
-            for key, doc, text in zip(*(batch.column(c) for c in ("key", "doc_id", "text")), strict=True):
-                normal = v.normal(text.as_py())
-                total = max(1, len(normal) // chunk)  # the last one takes the rest
-                for n in range(total):
-                    begin, end = n * chunk, len(normal) if n == total - 1 else (n + 1) * chunk
-                    low, high = max(0, begin - v.longest), min(len(normal), end + v.longest)
-                    row = [key.as_py(), doc.as_py(), n, n == total - 1, begin - low, end - begin, normal[low:high]]
-                    yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, [pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32(), pa.string()], strict=True)], names=names)
+
+        def rows():
+            for batch in batches:
+                for key, doc, text in zip(*(batch.column(c) for c in ("key", "doc_id", "text")), strict=True):
+                    normal = v.normal(text.as_py())
+                    total = max(1, len(normal) // chunk)  # the last one takes the rest
+                    for n in range(total):
+                        begin, end = n * chunk, len(normal) if n == total - 1 else (n + 1) * chunk
+                        low, high = max(0, begin - v.longest), min(len(normal), end + v.longest)
+                        yield {"key": key.as_py(), "doc_id": doc.as_py(), "n": n, "lead": begin - low, "size": end - begin, "body": normal[low:high]}
+
+        return _batched(rows(), schema)
 
     return run
 
 
 def _transfers(model: bytes):
-    """mapInArrow: chunks to the finite entries of their transfer matrices."""
+    """mapInArrow: chunks to the finite entries of their transfer matrices; g numbers groups of chunks."""
+    schema = pa.schema([("key", pa.int64()), ("g", pa.int32()), ("n", pa.int32()), ("entries", pa.list_(ENTRY))])
 
     def run(batches):
         v = _vocabulary(model)
-        for batch in batches:
-            for key, n, lead, size, body in zip(*(batch.column(c).to_pylist() for c in ("key", "n", "lead", "size", "body")), strict=True):
-                found = v.transfer(body, lead, lead + size, n == 0)
-                entries = [{"a": a, "x": x, "b": b, "y": y, "w": w} for (a, x), (b, y), w in found]
-                yield pa.RecordBatch.from_arrays([pa.array([key]), pa.array([n], pa.int32()), pa.array([entries], pa.list_(ENTRY))], names=["key", "n", "entries"])
 
-    return run
+        def rows():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    found = v.transfer(r["body"], r["lead"], r["lead"] + r["size"], r["n"] == 0)
+                    yield {"key": r["key"], "g": r["n"] // GROUP, "n": r["n"], "entries": _packed({(s, t): w for s, t, w in found})}
 
+        return _batched(rows(), schema)
 
-ENTRY = pa.struct([("a", pa.string()), ("x", pa.int32()), ("b", pa.string()), ("y", pa.int32()), ("w", pa.float64())])
+    return run
 
 
-def scan(matrices: list[dict]) -> list:
-    """The state at each cut of the best path through all matrices. Prefix products are built by doubling: log2 rounds of
-    compositions that don't depend on each other."""
-    prefix, step = list(matrices), 1
-    while step < len(prefix):
-        prefix = [compose(prefix[i - step], prefix[i]) if i >= step else prefix[i] for i in range(len(prefix))]
-        step *= 2
-    ends = prefix[-1]
-    state = max((k for k in ends if k[1][1] == 0), key=lambda k: (ends[k], k))[1]
-    out = [state]
-    for i in range(len(matrices) - 1, 0, -1):
-        own = {s: w for (s, t), w in matrices[i].items() if t == state}
-        before = {t: w for (_, t), w in prefix[i - 1].items()}
-        state = max((s for s in own if s in before), key=lambda s: (own[s] + before[s], s))
-        out.append(state)
-    return [("", 0), *out[::-1]]
-
-
-def _choose(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """applyInArrow: the transfer matrices of one text to the states at both ends of each chunk."""
+def scan(matrices: list[dict], enter: tuple[str, int] = ("", 0), leave: tuple[str, int] | None = None) -> list:
+    """The states at the cuts of the best path through all matrices from the entering to the leaving state (default: the best one that
+    ends with the text), both included."""
+    ahead = [{enter: 0.0}]
+    for matrix in matrices:
+        out: dict = {}
+        for (s, t), w in matrix.items():
+            if s in ahead[-1] and ahead[-1][s] + w > out.get(t, MINUS):
+                out[t] = ahead[-1][s] + w
+        ahead.append(out)
+    ends = ahead[-1]
+    state = leave or max((t for t in ends if t[1] == 0), key=lambda t: (ends[t], t))
+    states = [state]
+    for matrix, before in zip(matrices[::-1], ahead[-2::-1], strict=True):
+        into = {s: w for (s, t), w in matrix.items() if t == state and s in before}
+        state = max(into, key=lambda s: (into[s] + before[s], s))
+        states.append(state)
+    return states[::-1]
+
+
+def _product(table: pa.Table) -> pa.Table:
+    """applyInArrow: the matrices of a group of chunks to their product, which keeps the states at the group's ends only."""
     rows = sorted(table.to_pylist(), key=lambda r: r["n"])
-    states = scan([{((e["a"], e["x"]), (e["b"], e["y"])): e["w"] for e in r["entries"]} for r in rows])
-    return pa.table(
-        {
-            "key": pa.array([r["key"] for r in rows], pa.int64()),
-            "n": pa.array([r["n"] for r in rows], pa.int32()),
-            "enter": pa.array([s[0] for s in states[:-1]], pa.string()),
-            "enter_over": pa.array([s[1] for s in states[:-1]], pa.int32()),
-            "leave": pa.array([s[0] for s in states[1:]], pa.string()),
-            "leave_over": pa.array([s[1] for s in states[1:]], pa.int32()),
-        }
-    )
+    schema = pa.schema([("key", pa.int64()), ("g", pa.int32()), ("entries", pa.list_(ENTRY))])
+    return pa.Table.from_pylist([{"key": rows[0]["key"], "g": rows[0]["g"], "entries": _packed(reduce(compose, _matrices(rows)))}], schema)
+
+
+def _choose(number: str, bounded: bool):
+    """applyInArrow: matrices in the order of a column to the states at both ends of each; if bounded, between the states in their rows."""
+    schema = pa.schema([("key", pa.int64()), (number, pa.int32()), *STATES])
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(table.to_pylist(), key=lambda r: r[number])
+        ends = [(rows[0][a], rows[0][f"{a}_over"]) for a in ("enter", "leave")] if bounded else []
+        states = scan(_matrices(rows), *ends)
+        out = [{"key": r["key"], number: r[number], "enter": s[0], "enter_over": s[1], "leave": t[0], "leave_over": t[1]} for r, s, t in zip(rows, states, states[1:])]
+        return pa.Table.from_pylist(out, schema)
+
+    return run
 
 
 def _backtrace(model: bytes):
-    """mapInArrow: chunks with the states at their ends to their ids."""
+    """mapInArrow: chunks with the states at their ends to their ids, and whether these decode to what they stand for."""
+    schema = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int32()), ("ids", pa.list_(pa.int32())), ("same", pa.bool_())])
 
     def run(batches):
         v = _vocabulary(model)
-        for batch in batches:
-            for r in batch.to_pylist():
-                begin, end = r["lead"], r["lead"] + r["size"]
-                entry, leave = (r["enter"], r["enter_over"]), (r["leave"], r["leave_over"])
-                spots = v.resets(r["body"], begin, end)
-                numbers = lambda pieces: np.array([i for p in pieces for i in v.numbers(p)], "<i4").tobytes()
-                if spots and spots[0] < spots[1]:
-                    ids = numbers(v.trace(r["body"], begin, spots[0], entry)) + v.encode(r["body"][spots[0] : spots[1]]) + numbers(v.trace(r["body"], spots[1], end, ("", 0), leave))
-                else:
-                    ids = numbers(v.trace(r["body"], begin, end, entry, leave))
-                yield pa.RecordBatch.from_arrays([pa.array([r["key"]], pa.int64()), pa.array([r["doc_id"]], pa.int64()), pa.array([r["n"]], pa.int32()), _lists([ids])], names=["key", "doc_id", "n", "ids"])
+        packed = lambda pieces: b"".join(map(v.packed, pieces))
+
+        def rows():
+            for batch in batches:
+                for r in batch.to_pylist():
+                    body, begin, end = r["body"], r["lead"], r["lead"] + r["size"]
+                    entry, leave = (r["enter"], r["enter_over"]), (r["leave"], r["leave_over"])
+                    spots = v.resets(body, begin, end)
+                    if spots and spots[0] < spots[1]:
+                        ids = packed(v.trace(body, begin, spots[0], entry)) + v.encode(body[spots[0] : spots[1]]) + packed(v.trace(body, spots[1], end, ("", 0), leave))
+                    else:
+                        ids = packed(v.trace(body, begin, end, entry, leave))
+                    ids = np.frombuffer(ids, "<i4")
+                    told = b"".join(map(v.raw.__getitem__, ids.tolist()))
+                    own = body[begin + r["enter_over"] : end + r["leave_over"]].replace(SPACE, " ").encode()
+                    yield {"key": r["key"], "doc_id": r["doc_id"], "n": r["n"], "ids": ids, "same": told == own}
+
+        return _batched(rows(), schema)
 
     return run
 
@@ -154,38 +202,24 @@ def encode(docs: DataFrame, model: bytes | None = None, chunk: int = CHUNK) -> D
     columns are ignored; an empty table gives none.
 
     Texts of more than two chunks are cut into chunks of any content. Each chunk's transfer matrix between the states at its
-    ends is found on its own, the matrices of a text are combined, and each chunk is traced back on its own.
+    ends is found on its own; matrices are multiplied in groups, a task each; one short scan over the products gives the states at
+    the ends of the groups, and a scan in each group those at the ends of its chunks. Each chunk is traced back on its own.
     """
     model = model or load_model()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     length = F.length(F.coalesce("text", F.lit("")))
     short = texts.where(length <= 2 * chunk).mapInArrow(_encode_short(model), "doc_id bigint, ids array<int>, round_trip boolean")
     long = texts.where(length > 2 * chunk).withColumn("key", F.monotonically_increasing_id())  # settled below, so it never changes
-    shape = "key bigint, doc_id bigint, n int, last boolean, lead int, size int, body string"
+    shape = "key bigint, doc_id bigint, n int, lead int, size int, body string"
     parts = settle(long.select("key", "doc_id", "text").mapInArrow(_chunks(model, chunk), shape).repartition("key", "n"), "chunks")
-    entries = "array<struct<a:string,x:int,b:string,y:int,w:double>>"
-    moves = parts.select("key", "n", "lead", "size", "body").mapInArrow(_transfers(model), f"key bigint, n int, entries {entries}")
-    states = settle(moves.groupBy("key").applyInArrow(_choose, "key bigint, n int, enter string, enter_over int, leave string, leave_over int"), "states")
-    traced = parts.join(states, ["key", "n"]).mapInArrow(_backtrace(model), "key bigint, doc_id bigint, n int, ids array<int>")
-    whole = traced.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("parts"))
-    whole = whole.select("key", "doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"))
-    plain = parts.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("n", F.expr("substring(body, lead + 1, size)").alias("t")))).alias("parts"))
-    plain = plain.select("key", F.array_join(F.transform("parts", lambda p: p["t"]), "").alias("normal"))
-    checked = whole.join(plain, "key").mapInArrow(_compare(model), "doc_id bigint, ids array<int>, round_trip boolean")
-    return short.unionByName(checked)
-
-
-def _compare(model: bytes):
-    def run(batches):
-        v = _vocabulary(model)
-        for batch in batches:
-            same = []
-            for ids, normal in zip(batch.column("ids"), batch.column("normal"), strict=True):
-                text = v.decode(ids.values.to_numpy().tolist())
-                same.append(v.normal(text) == normal.as_py())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("ids"), pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
-
-    return run
+    moves = settle(parts.select("key", "n", "lead", "size", "body").mapInArrow(_transfers(model), f"key bigint, g int, n int, {ENTRIES}"), "moves")
+    ends = "enter string, enter_over int, leave string, leave_over int"
+    products = moves.groupBy("key", "g").applyInArrow(_product, f"key bigint, g int, {ENTRIES}")
+    groups = products.groupBy("key").applyInArrow(_choose("g", False), f"key bigint, g int, {ends}")
+    states = settle(moves.join(groups, ["key", "g"]).groupBy("key", "g").applyInArrow(_choose("n", True), f"key bigint, n int, {ends}"), "states")
+    traced = parts.join(states, ["key", "n"]).mapInArrow(_backtrace(model), "key bigint, doc_id bigint, n int, ids array<int>, same boolean")
+    whole = traced.groupBy("key", "doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "ids"))).alias("parts"), F.bool_and("same").alias("round_trip"))
+    return short.unionByName(whole.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), "round_trip"))
 
 
 def decode(tokens: DataFrame, model: bytes | None = None) -> DataFrame:

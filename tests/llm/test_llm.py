@@ -351,6 +351,23 @@ def test_tokens_equal_the_library(spark, docs, library, odd, none):
     assert tokens.encode(odd).count() == len(ODD) and tokens.encode(none).collect() == []
 
 
+def test_tokens_of_many_groups_of_chunks(spark, library, monkeypatch):
+    monkeypatch.setattr(tokens, "GROUP", 3)
+    rows = [(1, LONG), (2, "no" * 4000), (3, "é中.,\n  x" * 900), (4, "a " * 1025)]
+    found = {r.doc_id: r for r in tokens.encode(spark.createDataFrame(rows, "doc_id bigint, text string"), chunk=256).collect()}
+    for i, text in rows:
+        assert found[i].ids == library.encode(text) and found[i].round_trip, i
+
+
+def test_words_part_where_no_piece_lies_across(library):
+    v = pieces.Vocabulary.parse(tokens.load_model())
+    rng = np.random.default_rng(5)
+    marks = list("ab etnE é中½²_-'’.,;:!?()[]/0189#%\n\t▁") + ["e.g", "Inc.", ".com", " the", "tion"]
+    for _ in range(3000):
+        text = "".join(rng.choice(marks, rng.integers(1, 40)))
+        assert np.frombuffer(v.encode(v.normal(text)), "<i4").tolist() == library.encode(text), text
+
+
 def best_unigram(scores, text):
     best = [0.0] + [-1e18] * len(text)
     for end in range(1, len(text) + 1):
