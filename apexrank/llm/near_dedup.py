@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +16,8 @@ from .common import checked, settle
 from .graph import connected_components
 
 U = np.uint64
+#: Words of 64 bits of a set's parities.
+PARITY_WORDS = 8
 
 
 def band_shape(percent: int, most: int = 30, miss: float = 1e-5) -> tuple[int, int]:
@@ -127,6 +131,21 @@ def _linked(percent: int):
     return run
 
 
+def parities(s: np.ndarray) -> np.ndarray:
+    """The shingles of a set that fall into each of 64 * PARITY_WORDS cells, as an odd or even number. Two sets differ in as many shingles at
+    least as they differ in cells."""
+    cells = (kernels.mix(s) >> U(32)) * U(64 * PARITY_WORDS) >> U(32)
+    odd = np.bincount(cells.astype(np.int64), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+def _parities(batches):
+    """mapInArrow: (id, body) to (id, parity)."""
+    for batch in batches:
+        sets = [parities(np.frombuffer(x.as_buffer(), U)) for x in batch.column("body")]
+        yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sets, pa.list_(pa.int64()))], names=["id", "parity"])
+
+
 def _shingles(batches):
     """mapInArrow: (id, body) to a row for each shingle."""
     for batch in batches:
@@ -144,14 +163,18 @@ def _rare_pairs(body: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     listed = each.join(often, "shingle").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("docs", "shingle"))).alias("s"))  # of one document each
     n = F.size("s")
     rarest = F.slice("s", 1, (n - F.ceil(n * percent / 100) + 1).cast("int"))
-    posts = listed.select("id", n.alias("n"), F.posexplode(rarest).alias("at", "x")).select("id", "n", "at", "x.shingle").join(checked(labels, labels.count()), "id")
+    posts = listed.select("id", n.alias("n"), F.posexplode(rarest).alias("at", "x")).select("id", "n", "at", "x.shingle")
+    told = settle(labels.join(body.mapInArrow(_parities, "id bigint, parity array<bigint>"), "id"), "parities")
+    posts = posts.join(checked(told, told.count()), "id")
     posts = settle(posts, "posts")
     counts = posts.groupBy("shingle", "component").agg(F.count("*").alias("docs"))
     main = settle(counts.groupBy("shingle").agg(F.max_by("component", "docs").alias("main"), F.count("*").alias("many")).where("many > 1").drop("many"), "main")
     held = settle(posts.join(main, "shingle"), "held")
-    others = held.where("component <> main").select("shingle", F.col("id").alias("o"), F.col("n").alias("no"), F.col("at").alias("ato"), F.col("component").alias("co"))
+    others = held.where("component <> main").select("shingle", F.col("id").alias("o"), F.col("n").alias("no"), F.col("at").alias("ato"), F.col("component").alias("co"), F.col("parity").alias("po"))
     most = "least(n - at, no - ato)"
+    unlike = reduce(add, [F.bit_count(F.get("parity", F.lit(i)).bitwiseXOR(F.get("po", F.lit(i)))) for i in range(PARITY_WORDS)])
     pairs = held.join(others, "shingle").where(f"component <> co and 100 * {most} >= {percent} * (n + no - {most})")
+    pairs = pairs.where((100 + percent) * unlike <= (100 - percent) * (F.col("n") + F.col("no")))  # what linked sets may differ in
     low = F.col("id") < F.col("o")
     return pairs.select(F.least("id", "o").alias("a"), F.greatest("id", "o").alias("b"), F.when(low, F.col("n")).otherwise(F.col("no")).alias("na"), F.when(low, F.col("no")).otherwise(F.col("n")).alias("nb"))
 
@@ -184,8 +207,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Texts with equal sets are folded into one class first. A bucket of a band, which may be very large, never meets itself: its least
     member is verified against all of it. Members of buckets that are then of more than one component are compared by the rarest of
     their shingles: two sets of the wanted similarity share one among their first n - ceil(percent * n / 100) + 1 in an order
-    common to all, rarest first, and the places of the first one that they share bound what they can have in common. So pairs
-    are spared only where documents are already connected or can't be linked, and a large component never meets itself.
+    common to all, rarest first, and the places of the first one that they share bound what they can have in common, as do the
+    parities of their shingles in cells. So pairs are spared only where documents are already connected or can't be linked, and
+    a large component never meets itself.
     """
     bands, rows = band_shape(percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))

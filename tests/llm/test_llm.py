@@ -141,6 +141,31 @@ def test_texts_around_the_threshold_lose_no_link(spark):
     assert found == components(shingle_sets(rows, 3), 85)
 
 
+def test_parities_differ_in_no_more_cells_than_sets_in_elements():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 7, 200, 5000):
+        a = rng.integers(0, 2**63, n).astype(np.uint64)
+        for changed in (0, 1, n // 3, n):
+            b = np.concatenate([a[changed:], rng.integers(0, 2**63, changed).astype(np.uint64)])
+            cells = sum(int(x).bit_count() for x in (near_dedup.parities(a) ^ near_dedup.parities(b)).view(np.uint64))
+            assert cells <= len(set(a.tolist()) ^ set(b.tolist()))
+
+
+def test_texts_just_below_the_threshold_are_told_by_their_parities(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    base, rows, pairs = [f"w{i}" for i in range(120)], [], []
+    for i in range(100):  # sets of 118 that differ in about 36, of 19 allowed
+        w = list(base)
+        for j in rng.choice(len(w), 3, replace=False):
+            w[j] = f"edit{i}x{j}"
+        rows.append((i, " ".join(w)))
+    rare = near_dedup._rare_pairs
+    monkeypatch.setattr(near_dedup, "_rare_pairs", lambda *a: pairs.append(rare(*a).distinct()) or pairs[-1])
+    found = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), 3, 85).collect()}
+    assert found == components(shingle_sets(rows, 3), 85)
+    assert pairs and pairs[0].count() < 300
+
+
 def test_every_coordinate_of_a_sketch_fills():
     sets = [np.arange(1, n + 1, dtype=np.uint64) for n in (1, 2, 30, 1000)]
     found = near_dedup.sketch(sets, 64)
