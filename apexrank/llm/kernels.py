@@ -29,6 +29,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(32))
 
 
+def release() -> None:
+    """Gives the memory that Arrow keeps for later batches back: a worker stays for a while between its tasks."""
+    pa.default_memory_pool().release_unused()
+
+
 _powers: dict[str, np.ndarray] = {}
 
 

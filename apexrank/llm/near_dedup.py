@@ -90,6 +90,7 @@ def _signatures(k: int, bands: int, rows: int):
                     ],
                     names=["doc_id", "n_shingles", "sum_a", "sum_b", "keys"],
                 )
+        kernels.release()
 
     return run
 
@@ -110,6 +111,7 @@ def _sets(k: int):
                     ],
                     names=["n_shingles", "sum_a", "sum_b", "body"],
                 )
+        kernels.release()
 
     return run
 
