@@ -21,10 +21,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: A letter, as a pattern.
 LETTER = r"[^\W\d_]"
-#: Words whose segmentation a worker remembers in each of two generations, and pairs of pieces.
-REMEMBERED, PAIRS = 60_000, 300_000
-#: Bytes that tell which words were met before, one for each place of a word's hash.
-MET = 1 << 21
+#: Words and pairs of pieces whose segmentation a worker remembers, words in each of two generations.
+REMEMBERED = 150_000
 
 
 def _varint(data: bytes, at: int) -> tuple[int, int]:
@@ -90,7 +88,6 @@ class Vocabulary:
                 self.raw[i] = b"" if k == CONTROL else b" \xe2\x81\x87 "
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.met = bytearray(MET)
 
     def _parting(self) -> str:
         """A pattern for the end of a run of letters where no piece can lie across: no piece has what stands before and behind next to
@@ -155,7 +152,7 @@ class Vocabulary:
             return self.scores[found] if found is not None else self.floor
         fits = self.pairs.get(last, {}).get(piece)
         if fits is None:
-            if self.paired >= PAIRS:
+            if self.paired >= REMEMBERED:
                 self.pairs.clear()
                 self.paired = 0
             self.paired += 1
@@ -282,19 +279,13 @@ class Vocabulary:
             at, before = end, piece
 
     def word_ids(self, word: str) -> bytes:
-        """Little-endian 32-bit ids of a stretch that no piece crosses the ends of. Words are remembered from the second time on: most
-        unlike ones come once, and would take the place of those that come again."""
+        """Little-endian 32-bit ids of a stretch that no piece crosses the ends of."""
         found = self.known.get(word)
         if found is None:
             found = self.older.get(word)
-            again = found is not None
-            if not again:
+            if found is None:
                 found = b"".join(map(self.packed, self.only_path(word) if self.model == BPE else self.trace(word, 0, len(word), ("", 0))))
-                h = hash(word)
-                at, mark = h % MET, h // MET % 255 + 1
-                again = self.met[at] == mark
-                self.met[at] = mark
-            if again and len(word) <= 40:
+            if len(word) <= 40:
                 if len(self.known) >= REMEMBERED:
                     self.older, self.known = self.known, {}
                 self.known[word] = found
