@@ -40,6 +40,15 @@ def settle(df: DataFrame, what: str = "part") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def reclaim(spark: SparkSession) -> None:
+    """Has every executor collect the whole of its heap, by a task for each core.
+
+    A heap grows to its limit under what a step throws away, and stays there though most of it is free, beside the Python workers of the
+    next step. A full collection returns what is free to the system."""
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.java_method(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def fresh(name: str, taken) -> str:
     """name, with as many underscores behind it as make it differ from those taken."""
     while name in taken:

@@ -213,6 +213,7 @@ def _scored(model: Model | None, letters: str, drop: tuple[str, ...], added: tup
             names = [n for n in batch.schema.names if n not in drop]
             out = [*arrays, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())]
             yield pa.RecordBatch.from_arrays(out, names=[*names, *added])
+        batch = arrays = out = None  # else the last ones stay
         kernels.release()
 
     return run

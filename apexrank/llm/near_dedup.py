@@ -90,6 +90,7 @@ def _signatures(k: int, bands: int, rows: int):
                     ],
                     names=["doc_id", "n_shingles", "sum_a", "sum_b", "keys"],
                 )
+        batch = sets = None  # else the last one stays
         kernels.release()
 
     return run
@@ -111,6 +112,7 @@ def _sets(k: int):
                     ],
                     names=["n_shingles", "sum_a", "sum_b", "body"],
                 )
+        batch = sets = None
         kernels.release()
 
     return run

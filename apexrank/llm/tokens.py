@@ -63,6 +63,7 @@ def _encode_short(model: bytes):
                 ids = _lists([v.encode(v.normal(t)) for t in texts])
                 same = [back == t.replace(SPACE, " ") for back, t in zip(_decoded(v, raw, ids), texts, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(same, pa.bool_())], names=["doc_id", "ids", "round_trip"])
+        batch = part = texts = ids = None  # else the last ones stay
         kernels.release()
 
     return run

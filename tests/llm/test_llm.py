@@ -770,3 +770,33 @@ def test_stages_return_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(30)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, SF).columns == docs.columns
+
+
+def test_each_stage_begins_with_collected_heaps(spark):
+    import corpus_pipeline
+
+    def collections() -> int:
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if re.search("Old|MarkSweep", b.getName()))
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = collections()
+        stage(spark, docs, SF)
+        assert collections() > before, name
+
+
+def test_workers_let_their_last_batch_go(monkeypatch):
+    batch = {"doc_id": pa.array([1], pa.int64()), "letters": pa.array([True])}
+    held, base = [], 0
+    monkeypatch.setattr(kernels, "release", lambda: held.append(pa.total_allocated_bytes() - base))
+    model = tokens.load_model()
+    list(tokens._encode_short(model)(iter([])))  # the vocabulary is loaded
+    runs = [near_dedup._signatures(5, 2, 2), near_dedup._sets(5), language_id._scored(None, "letters", ("letters", "text"), ("l", "s", "a")), tokens._encode_short(model)]
+    for run in runs:
+        held.clear()
+        base = pa.total_allocated_bytes()
+        for _ in run(pa.RecordBatch.from_pydict(batch | {"text": pa.array(["one two three " * n])}) for n in (10, 200_000)):
+            pass
+        del _
+        assert max(held) < 2_000_000
